@@ -17,22 +17,22 @@ def nearest_donors(rows: DataFrame, by: list[str], t: str, donor: Column, carrie
     Records are blocked by `by` and time buckets as wide as `reach`. A donor within reach lies in the row's own
     bucket or is the last of the bucket before or the first of the bucket after, so windows stay inside a bucket
     and one small row per bucket carries the rest. Donors farther away than `reach` may come out and are for the
-    caller to reject; a row never is its own donor only if it is no donor. Rows with a null key or time find none.
+    caller to reject. A donor finds itself. Of donors at one instant the one with the smallest carried values is
+    taken. Rows with a null key or time find none.
     """
     item = F.struct(F.col(t).alias("t"), *carried)
-    d = rows.withColumn("_b", F.floor(F.col(t) / reach)).withColumn("_d", F.when(donor & F.col(t).isNotNull(), item))
+    spread = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(4096))  # rows without a time meet nobody: keep them apart
+    d = rows.withColumn("_b", F.coalesce(F.floor(F.col(t) / reach), spread)).withColumn("_d", F.when(donor & F.col(t).isNotNull(), item))
     keys = [*by, "_b"]
-    last = F.max(F.struct("_d.t", *[F.struct(*[F.col(f"_d.{c}") for c in carried]).alias("v")])).alias("_last")
-    first = F.min(F.struct("_d.t", *[F.struct(*[F.col(f"_d.{c}") for c in carried]).alias("v")])).alias("_first")
+    rank = [F.col(f"_d.{c}") for c in carried]
+    last = F.min_by("_d", F.struct(-F.col("_d.t"), *rank)).alias("_last")
+    first = F.min_by("_d", F.struct(F.col("_d.t"), *rank)).alias("_first")
     ends = d.where(F.col("_d").isNotNull()).groupBy(*keys).agg(last, first)
-
-    def unpack(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.t").alias("t"), *[F.col(f"{c}.v.{x}").alias(x) for x in carried]))
-
-    prev = ends.select(*by, (F.col("_b") + 1).alias("_b"), unpack("_last").alias("_prev"))
-    following = ends.select(*by, (F.col("_b") - 1).alias("_b"), unpack("_first").alias("_next"))
-    up = Window.partitionBy(*keys).orderBy(t)
-    down = Window.partitionBy(*keys).orderBy(F.col(t).desc())
+    prev = ends.select(*by, (F.col("_b") + 1).alias("_b"), F.col("_last").alias("_prev"))
+    following = ends.select(*by, (F.col("_b") - 1).alias("_b"), F.col("_first").alias("_next"))
+    ties = [F.col(c).desc_nulls_last() for c in carried]
+    up = Window.partitionBy(*keys).orderBy(F.col(t), *ties)
+    down = Window.partitionBy(*keys).orderBy(F.col(t).desc(), *ties)
     inside = d.withColumn("_in_before", F.last("_d", ignorenulls=True).over(up)).withColumn("_in_after", F.last("_d", ignorenulls=True).over(down))
     out = inside.join(prev, keys, "left").join(following, keys, "left")
     return out.withColumn("before", F.coalesce("_in_before", "_prev")).withColumn("after", F.coalesce("_in_after", "_next")).drop("_b", "_d", "_in_before", "_in_after", "_prev", "_next")
