@@ -144,9 +144,10 @@ def judge_readings(readings: DataFrame, plausible: dict[str, tuple[float, float]
     run = surroundings(edges, "head", "tail", STUCK - 1, ("before", "after"))
     clean = surroundings(edges.where(F.size("clean_head") > 0), "clean_head", "clean_tail", GROUP, ("clean_before", "clean_after"))
     halo = run.join(clean, [*SOURCE, "block"], "left").where((F.size("before") > 0) | (F.size("after") > 0))
-    empty = F.lit(None)
-    both = rows.select("*", *[empty.cast("array<double>").alias(c) for c in ("before", "after", "clean_before", "clean_after")]).unionByName(
-        halo.select("*", empty.cast("string").alias("stream_id"), F.lit(-1).cast("bigint").alias("pos"), empty.cast("double").alias("value"), empty.cast("boolean").alias("impossible"))
+    empty, sides = F.lit(None), ("before", "after", "clean_before", "clean_after")
+    none = F.array().cast("array<double>")  # not null: a column of null lists is slow to send to Python
+    both = rows.select("*", *[none.alias(c) for c in sides]).unionByName(
+        halo.select(*SOURCE, "block", *[F.coalesce(c, none).alias(c) for c in sides], empty.cast("string").alias("stream_id"), F.lit(-1).cast("bigint").alias("pos"), empty.cast("double").alias("value"), empty.cast("boolean").alias("impossible"))
     )
     judged = sorted_groups(both, [*SOURCE, "block"], [F.col("value").isNotNull(), "pos", "value"], _judge, "sid string, session int, channel string, stream_id string, pos bigint, value double, impossible boolean, stuck boolean, score double, step double")
     return written(judged, "judged")
