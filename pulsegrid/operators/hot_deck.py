@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, micros
+from pulsegrid.session import written
 
 EPOCH_US = 5_000_000
 REACH_US = 60_000_000
@@ -61,7 +62,8 @@ def hot_deck_fill(features: DataFrame, reach_us: int = REACH_US, epoch_us: int =
     and unmarked; repeated rows are rows of their own; an empty table gives an empty result.
 
     Scale: donors are looked for in blocks of stream (and session) and minute; majorities are counted with
-    map-side combine. One stream may hold any share of the rows.
+    map-side combine. One stream may hold any share of the rows. The filled sessions, used three times, are written
+    to the shared folder once.
     """
     missing_session = F.col("session").isNull() | (F.col("session") < 1)
     rows = features.select(
@@ -71,6 +73,7 @@ def hot_deck_fill(features: DataFrame, reach_us: int = REACH_US, epoch_us: int =
     near = nearest_donors(rows, ["sid"], "t", F.col("session0").isNotNull(), ["session0", "feature_id"], reach_us)
     s = near.select(*rows.columns, _nearer("session0", reach_us).alias("s1"), _nearer("feature_id", reach_us).alias("d1"))
     s = s.select("feature_id", "sid", "t", "epoch0", "user0", "session0", F.coalesce("session0", "s1").alias("session"), F.when(F.col("session0").isNull() & F.col("sid").isNotNull(), F.col("d1")).alias("session_donor"))
+    s = written(s, "sessions")
 
     group = ["sid", "session"]
     votes = s.where(F.col("session").isNotNull() & F.col("user0").isNotNull()).groupBy(*group, "user0").agg(F.count("*").alias("n"))
