@@ -33,3 +33,8 @@ def finite(c: str | Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 (ANSI mode raises otherwise)."""
     return a / F.nullif(b, F.lit(0.0))
+
+
+def stable(x: Column, digits: int = 6) -> Column:
+    """Rounded for reports, nudged off rounding ties so that the order of a sum cannot change the result."""
+    return F.round(x + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
