@@ -85,6 +85,8 @@ def fit_rates(groups: DataFrame, shares: list[float], rounds: int = ROUNDS) -> t
     which the driver gets one sum per source and takes the next move, scaled by the sources' own sizes. groups: p,
     cap, tokens. Returns the moves, from which _rate gives any document's rate, and the total aimed at.
     """
+    if not shares:
+        return [], 0.0
     k = len(shares)
     each = lambda w: [F.sum(F.col("tokens") * F.col("p")[i] * w).alias(f"s{i}") for i in range(k)]
     room = [x or 0.0 for x in groups.agg(*each(F.col("cap"))).first()]
@@ -126,8 +128,8 @@ def mix(docs: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS, tokenizer
     likely = F.element_at(F.array(*map(F.lit, names)).cast("array<string>"), top) if names else F.lit(None).cast("string")
     members = written(members.select("doc_id", F.coalesce("source", likely).alias("source"), F.col("source").isNull().alias("guessed"), "tokens", "p", F.coalesce(cap, F.lit(0.0)).alias("cap")), "members")
     groups = written(members.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")), "groups")
-    moves, _ = fit_rates(groups, shares)
-    rated = members.withColumn("rate", _rate(moves)).withColumn("base", F.floor("rate")).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(BINS)).cast("int"))
+    moves, total = fit_rates(groups, shares)
+    rated = members.withColumn("rate", _rate(moves) if total > 0 else F.lit(0.0)).withColumn("base", F.floor("rate")).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(BINS)).cast("int"))
     by = ["source", "guessed"]
     bins = rated.groupBy(*by, "bin").agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * (F.col("rate") - F.col("base"))).alias("wanted"))
     upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))

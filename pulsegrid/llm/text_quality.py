@@ -124,7 +124,8 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     cut = np.zeros(n, bool)
     cut[line_at] = True
     long = width[line] > LONG
-    before, before2 = np.append(0, c16[:-1]), np.append([0, 0], c16[:-2])
+    before = np.append(0, c16[:-1])
+    before2 = np.append(0, before[:-1])
     ended = long & (((kind == BLANK) & np.isin(before, [46, 33, 63]) & (kind_of[before2] != DIGIT)) | np.isin(before, [0x3002, 0xFF01, 0xFF1F]))
     step = (np.arange(n) - line_at[line]) // PIECE_CHARS
     gap = np.flatnonzero(long & (kind == BLANK))
