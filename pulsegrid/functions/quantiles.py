@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.session import small_side
 
 #: Histogram bins to a doubling of the value.
 BINS_PER_OCTAVE = 64
@@ -25,7 +25,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, name: str = "media
     hist = hist.withColumn("upto", F.sum("n").over(by_bin)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
     middle = hist.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select(*keys, "bin", (F.col("upto") - F.col("n")).alias("before"), low.alias("low"), high.alias("high"))
-    inside = v.join(broadcast_if_small(middle), [*keys, "bin"]).groupBy(*keys, "bin", "before", "low", "high", "v").agg(F.count("*").alias("n"))
+    inside = v.join(small_side(middle, "middle"), [*keys, "bin"]).groupBy(*keys, "bin", "before", "low", "high", "v").agg(F.count("*").alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v"))
     ranked = inside.withColumn("upto", upto)
     lower = F.min(F.when(F.col("upto") >= F.col("low"), F.col("v")))

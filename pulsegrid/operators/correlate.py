@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import ratio
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.session import small_side
 
 MEASURES = ["mean_value", "std_value", "min_value", "max_value", "rate_of_change"]
 NO_EVENT = "No Event"
@@ -40,7 +40,7 @@ def padded_average(features: DataFrame, measure: str = "mean_value", tail: int =
     whole = v.groupBy("session").agg(F.countDistinct("sid").alias("streams"), (F.max("epoch") + 1 - tail).alias("horizon"))
     sums = v.groupBy("session", "epoch").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("q"))
     m = F.col("s") / F.col("streams")
-    return sums.join(broadcast_if_small(whole), "session").where(F.col("epoch") < F.col("horizon")).select("session", "epoch", m.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("streams") - m * m, F.lit(0.0))).alias("std"))
+    return sums.join(small_side(whole, "horizons"), "session").where(F.col("epoch") < F.col("horizon")).select("session", "epoch", m.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("streams") - m * m, F.lit(0.0))).alias("std"))
 
 
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None, limit: int = 1000) -> DataFrame:
@@ -57,7 +57,7 @@ def codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Adds code: 0, 1, ... in the order in which values are first seen; -1 for null."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
     ranked = first.select(column, (F.dense_rank().over(Window.orderBy("_first")) - 1).alias("code"))  # one row per value
-    return df.join(broadcast_if_small(ranked), column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+    return df.join(small_side(ranked, "codes"), column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
 
 
 def indicator_correlations(merged: DataFrame, column: str = "event_type", measures: list[str] = MEASURES, least: float = 0.0) -> DataFrame:

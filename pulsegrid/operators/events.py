@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, micros
 from pulsegrid.functions.ordered import BLOCK, with_neighbours, with_running_sum
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.session import broadcast_if_small, small_side
 
 EPOCH_S = 5.0
 EVENT = ["event_name", "event_type", "event_duration", "metadata"]
@@ -90,8 +90,8 @@ def sync_shifts(spikes: DataFrame, log: DataFrame, recordings: DataFrame, around
 
     (sid, session, shift) for every stream of a log with two sync markers; 0 where no spike is near."""
     second = sync_markers(log).where(F.col("n") == 2).select("log_key", "session", "start_time")
-    streams = recordings.select(entity_key("stream_id").alias("sid"), "session", "log_key").distinct().join(broadcast_if_small(second), ["log_key", "session"])
-    near = spikes.join(broadcast_if_small(streams), ["sid", "session"]).withColumn("d", F.col("t") / 1e6 - F.col("start_time")).where(F.abs("d") <= around_s)
+    streams = recordings.select(entity_key("stream_id").alias("sid"), "session", "log_key").distinct().join(small_side(second, "sync"), ["log_key", "session"])
+    near = spikes.join(small_side(streams, "streams"), ["sid", "session"]).withColumn("d", F.col("t") / 1e6 - F.col("start_time")).where(F.abs("d") <= around_s)
     return streams.select("sid", "session").join(near.groupBy("sid", "session").agg(F.avg("d").alias("shift")), ["sid", "session"], "left").na.fill(0.0, ["shift"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, finite, micros, ratio
 from pulsegrid.functions.ordered import BLOCK, with_halo, with_neighbours
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.session import broadcast_if_small, small_side
 
 KEYS = ["sid", "session", "channel"]
 STREAM = ["sid", "session"]
@@ -31,7 +31,7 @@ def widen(rows: DataFrame, channels: list[str]) -> DataFrame:
 
 def per_group(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Adds aggregates of each row's group, by aggregation and join: a hot group is pre-aggregated, never windowed."""
-    return rows.join(broadcast_if_small(rows.groupBy(*keys).agg(*aggs)), keys)
+    return rows.join(small_side(rows.groupBy(*keys).agg(*aggs), "groups"), keys)
 
 
 def sampling_rates(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.blocks import numbers, sorted_groups
 from pulsegrid.functions.columns import entity_key
 from pulsegrid.functions.quantiles import exact_medians
-from pulsegrid.session import broadcast_if_small, written
+from pulsegrid.session import small_side, written
 
 #: Physically possible values of each channel. Fixed values.
 PLAUSIBLE = {
@@ -163,7 +163,7 @@ def tail_model(judged: DataFrame, risk: float = RISK) -> DataFrame:
     med = exact_medians(judged.where(~F.col("impossible")), SOURCE, "step", "unit")
     e, unit = F.col("score"), F.col("unit")
     peak = (e > PEAK * unit) & (e <= LIMIT * unit)
-    fit = judged.where(~F.col("impossible")).join(broadcast_if_small(med), SOURCE).groupBy(*SOURCE).agg(F.first("unit").alias("unit"), F.count("*").alias("rows"), F.count_if(peak).alias("peaks"), F.avg(F.when(peak, e - PEAK * unit)).alias("mean"), F.var_pop(F.when(peak, e - PEAK * unit)).alias("var"))
+    fit = judged.where(~F.col("impossible")).join(small_side(med, "medians"), SOURCE).groupBy(*SOURCE).agg(F.first("unit").alias("unit"), F.count("*").alias("rows"), F.count_if(peak).alias("peaks"), F.avg(F.when(peak, e - PEAK * unit)).alias("mean"), F.var_pop(F.when(peak, e - PEAK * unit)).alias("var"))
     fitted = F.when((F.col("peaks") >= MIN_PEAKS) & (F.col("var") > 0), gpd_cutoff(F.col("peaks"), F.col("rows"), F.col("mean"), F.col("var"), PEAK * unit, risk))
     return fit.withColumn("cutoff", F.least(F.coalesce(fitted, LIMIT * unit), LIMIT * unit)).withColumn("cutoff", F.greatest("cutoff", PEAK * unit))
 
@@ -185,6 +185,6 @@ def flag_readings(readings: DataFrame, plausible: dict[str, tuple[float, float]]
     """
     judged = judge_readings(readings, plausible, block)
     model = tail_model(judged, risk)
-    flagged = judged.where(F.col("impossible") | F.col("stuck") | (F.col("score") > 0)).join(broadcast_if_small(model.select(*SOURCE, "unit", "cutoff")), SOURCE, "left")
+    flagged = judged.where(F.col("impossible") | F.col("stuck") | (F.col("score") > 0)).join(small_side(model.select(*SOURCE, "unit", "cutoff"), "model"), SOURCE, "left")
     beyond = ~F.col("impossible") & (F.col("score") > F.col("cutoff"))
     return flagged.where(F.col("impossible") | F.col("stuck") | F.coalesce(beyond, F.lit(False))).withColumn("spike", F.coalesce(~F.col("impossible") & (F.col("score") > LIMIT * F.col("unit")), F.lit(False))).drop("step")

@@ -56,3 +56,9 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast only if its row count is proven to be small; else Spark joins by shuffle."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def small_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """An aggregated table as one side of a join: written once, so that neither counting nor joining it computes it
+    again, and broadcast if it proves to be small."""
+    return broadcast_if_small(written(df, label), rows)
