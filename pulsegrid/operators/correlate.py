@@ -56,8 +56,8 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, limit:
 def codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Adds code: 0, 1, ... in the order in which values are first seen; -1 for null."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    ranked = first.select(column, (F.dense_rank().over(Window.orderBy("_first")) - 1).alias("code"))  # one row per value
-    return df.join(small_side(ranked, "codes"), column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+    ranked = first.select(column, (F.dense_rank().over(Window.orderBy("_first")) - 1).cast("bigint").alias("code"))  # one row per value
+    return df.join(small_side(ranked, "codes"), column, "left").withColumn("code", F.coalesce("code", F.lit(-1).cast("bigint")))
 
 
 def indicator_correlations(merged: DataFrame, column: str = "event_type", measures: list[str] = MEASURES, least: float = 0.0) -> DataFrame:

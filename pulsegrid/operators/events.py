@@ -82,7 +82,7 @@ def sync_markers(log: DataFrame, first: int = 2) -> DataFrame:
     m = F.lower("marker")
     s = log.where(F.col("log_key").isNotNull() & F.col("start_time").isNotNull() & m.contains("sync") & ~m.contains("instr"))
     w = Window.partitionBy("log_key", "session").orderBy("start_time", "row_id")
-    return s.withColumn("n", F.row_number().over(w)).where(F.col("n") <= first).select("log_key", "session", "n", "start_time")
+    return s.withColumn("n", F.row_number().over(w).cast("bigint")).where(F.col("n") <= first).select("log_key", "session", "n", "start_time")
 
 
 def sync_shifts(spikes: DataFrame, log: DataFrame, recordings: DataFrame, around_s: float) -> DataFrame:

@@ -133,7 +133,7 @@ def time_epochs(rows: DataFrame, seconds: float) -> DataFrame:
     g = per_group(known, KEYS, F.min("_t").alias("_a"), F.max("_t").alias("_z"), F.count("*").alias("_n"))
     windows = F.ceil(ratio(F.col("_n") * (F.col("_z") - F.col("_a")).cast("double"), (F.col("_n") - 1) * F.lit(float(us))))
     e = g.withColumn("_w", F.floor((F.col("_t") - F.col("_a")) / us)).where(F.col("_w") < F.greatest(windows, F.lit(1)))
-    number = e.select(*KEYS, "_w").distinct().withColumn("epoch", F.row_number().over(Window.partitionBy(*KEYS).orderBy("_w")) - 1)
+    number = e.select(*KEYS, "_w").distinct().withColumn("epoch", (F.row_number().over(Window.partitionBy(*KEYS).orderBy("_w")) - 1).cast("bigint"))
     return e.join(number, [*KEYS, "_w"]).drop("_t", "_a", "_z", "_n", "_w")
 
 
