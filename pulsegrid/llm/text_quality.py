@@ -22,6 +22,7 @@ FUNCTION_WORDS = {
 #: Chinese characters and Japanese kana of the same kind. Fixed values.
 FUNCTION_SIGNS = "的是在了和与可以从至为其所之时当后先中有由此使对及被将该于不如"
 SENTENCE_SIGNS = ".,;:!?。、，；：！？"
+STOPS = ".!?:。！？："
 INNER_SIGNS = "()[]'\"’‘“”„«»（）【】「」-‐‑%°§&/µ²³"
 BULLET_SIGNS = "•·*–—▪◦‣"
 CATEGORIES = ["function", "content", "kana", "han", "digit", "sentence", "inner", "bullet", "mark", "junk"]
@@ -194,9 +195,9 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     if len(real):
         nb = np.append([9], structure[real][:-1]), np.append(structure[real][1:], [9])
         between = np.isin(nb[0], (1, 2)) & np.isin(nb[1], (1, 2))
-    end_kind = np.full(n_seg, BLANK)
-    end_kind[seg[inked]] = kind[inked]
-    stub = (total[real] < SHORT_LINE) & (end_kind[real] != SENTENCE)
+    end_sign = np.zeros(n_seg, np.uint16)
+    end_sign[seg[inked]] = c16[inked]
+    stub = (total[real] < SHORT_LINE) & ~np.isin(end_sign[real], [ord(c) for c in STOPS])
     stub_run = np.cumsum(np.append(True, (stub[1:] != stub[:-1]) | (seg_doc[real][1:] != seg_doc[real][:-1]))) - 1 if len(real) else run
     many = stub & (np.bincount(stub_run)[stub_run] >= SHORT_RUN) if len(real) else stub
     structure[real[label]] = np.where((length[label] >= LABEL_RUN) | between[label], 1, 0)
