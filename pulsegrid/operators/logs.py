@@ -111,3 +111,25 @@ def follow_on(log: DataFrame, category: str, pause_ms: int = 300_000) -> DataFra
     e = with_running_sum(e, ["log_key", "session", "marker"], "row_id", F.lit(1).cast("bigint"), "occurrence")
     end = F.col("last") + pause_ms + F.col("upto")
     return e.join(last, ["log_key", "session"]).select("log_key", "session", "row_id", "marker", "occurrence", (end - F.col("ms")).alias("start_ms"), end.alias("end_ms"))
+
+
+FORMS = ["BRUMS", "SSS", "VASF", "LIKERT"]
+
+
+def structured(log: DataFrame, early_s: float = 0.1) -> DataFrame:
+    """A started and an ended row per event, the latter `early_s` before the end: (log_key, session, row_id, phase, ts,
+    marker). Rows of one instant are all kept."""
+    ends = F.array(F.struct(F.lit("started").alias("phase"), F.col("start_time").alias("ts")), F.struct(F.lit("ended").alias("phase"), (F.col("end_time") - early_s).alias("ts")))
+    return log.where(F.col("log_key").isNotNull()).select("log_key", "session", "row_id", "marker", F.inline(ends)).where(F.col("ts").isNotNull())
+
+
+def form_answers(log: DataFrame) -> DataFrame:
+    """Questions and answers in the metadata of forms: (row_id, form, question, answer)."""
+    forms = log.where(F.upper(F.trim("category")).isin(FORMS)).select("row_id", F.upper(F.trim("category")).alias("form"))
+    return metadata_entries(log).where(F.col("key").contains("?")).join(forms, "row_id").select("row_id", "form", F.col("key").alias("question"), F.col("value").alias("answer"))
+
+
+def durations(log: DataFrame) -> DataFrame:
+    """Seconds that each event took: what its metadata say, else its end minus its start; null where neither is known."""
+    said = metadata_entries(log).where(F.col("key") == "duration").groupBy("row_id").agg(F.min(F.col("value").try_cast("double")).alias("said"))
+    return log.join(said, "row_id", "left").select("row_id", F.coalesce("said", F.col("end_time") - F.col("start_time")).alias("duration"))

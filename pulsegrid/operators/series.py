@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, finite, micros, ratio
 from pulsegrid.functions.ordered import BLOCK, with_halo, with_neighbours
-from pulsegrid.session import broadcast_if_small, small_side
+from pulsegrid.session import broadcast_if_small, small_side, written
 
 KEYS = ["sid", "session", "channel"]
 STREAM = ["sid", "session"]
@@ -36,12 +36,13 @@ def per_group(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 def sampling_rates(rows: DataFrame) -> DataFrame:
     """Sampling frequency per stream and session, one over the mean step between instants: (sfreq, sfreq_int, min_sfreq
-    = the lowest of the table). Null where fewer than two instants, or none apart, are known."""
+    = the lowest of the modality, which is the last part of a stream id). Null where fewer than two instants, or none apart, are known."""
     t = rows.where(F.col("ts").isNotNull()).groupBy(*STREAM, "pos").agg(F.min(micros("ts")).alias("t"))
     span = (F.max("t") - F.min("t")) / 1e6
     r = t.groupBy(*STREAM).agg(ratio(F.count("*").cast("double") - 1, span).alias("sfreq"))
-    low = r.agg(F.min("sfreq").alias("min_sfreq"))
-    return r.crossJoin(F.broadcast(low)).withColumn("sfreq_int", F.floor("sfreq"))  # one row
+    r = written(r.withColumn("modality", F.element_at(F.split("sid", "_"), -1)), "rates")
+    low = r.groupBy("modality").agg(F.min("sfreq").alias("min_sfreq"))
+    return r.join(low, "modality").withColumn("sfreq_int", F.floor("sfreq")).drop("modality")
 
 
 def decimate(rows: DataFrame, factor: int) -> DataFrame:
@@ -155,3 +156,18 @@ def crop(rows: DataFrame, spans: DataFrame, keys: list[str], start: str, end: st
 def slice_positions(rows: DataFrame, start: int, end: int) -> DataFrame:
     """Positions start to end - 1."""
     return rows.where((F.col("pos") >= start) & (F.col("pos") < end))
+
+
+def baseline_by_channel(epochs: DataFrame, reference: str) -> DataFrame:
+    """Readings of an epoch minus the mean of the reference channel in that epoch; null where it has no reading."""
+    base = epochs.where(F.col("channel") == reference).groupBy(*STREAM, "epoch").agg(F.avg("value").alias("_base"))
+    return epochs.join(base, [*STREAM, "epoch"], "left").withColumn("value", F.col("value") - F.col("_base")).drop("_base")
+
+
+def histogram(rows: DataFrame, keys: list[str], bins: int = 50) -> DataFrame:
+    """Readings per group in `bins` equal bins from its smallest to its largest: (keys, bin, from, readings); groups that
+    do not vary are in bin 0, empty bins have no row."""
+    g = per_group(rows.where(F.col("value").isNotNull()), keys, F.min("value").alias("_a"), F.max("value").alias("_z"))
+    width = (F.col("_z") - F.col("_a")) / bins
+    b = F.coalesce(F.least(F.floor(ratio(F.col("value") - F.col("_a"), width)), F.lit(bins - 1)), F.lit(0))
+    return g.withColumn("bin", b.cast("bigint")).groupBy(*keys, "bin").agg(F.first(F.col("_a")).alias("_a"), F.first(width).alias("_w"), F.count("*").alias("readings")).select(*keys, "bin", (F.col("_a") + F.col("bin") * F.col("_w")).alias("from"), "readings")

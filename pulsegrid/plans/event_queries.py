@@ -9,6 +9,7 @@ from pulsegrid.functions.columns import entity_key, finite, stable
 from pulsegrid.operators import correlate as C
 from pulsegrid.operators import events as V
 from pulsegrid.operators import logs as L
+from pulsegrid.operators import lookups as K
 from pulsegrid.operators import series as S
 from pulsegrid.operators import validate
 from pulsegrid.session import table
@@ -145,7 +146,27 @@ def series_report(spark, folder):
     return validate.series_report(s)
 
 
-QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report)}
+def structured_log(spark, folder):
+    return L.structured(_t(spark, folder, "log_events")).withColumn("ts", stable(F.col("ts"), 4))
+
+
+def form_answers(spark, folder):
+    return L.form_answers(_t(spark, folder, "log_events"))
+
+
+def event_durations(spark, folder):
+    return L.durations(_t(spark, folder, "log_events")).withColumn("duration", stable(F.col("duration"), 4))
+
+
+def stream_owners(spark, folder):
+    return K.stream_owners(_t(spark, folder, "recordings"))
+
+
+def streams_per_user(spark, folder):
+    return K.streams_per_user(_t(spark, folder, "recordings"))
+
+
+QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -169,6 +190,11 @@ parsed as (select *, case when regexp_extract(marker, '_(\d+)$', 1) <> '' then c
 tried as (select *, count(*) filter (phase = 'started') over (partition by log_key, session, name order by line_no rows unbounded preceding) as attempt from parsed)"""
 _DURATION = _r("min(ts) filter (phase = 'ended') - min(ts) filter (phase = 'started')", 4)
 _NORM = r"regexp_replace(lower(trim(marker)), '[\s-]', '_', 'g')"
+_ENTRIES = "select row_id, j.key, j.value->>'$' as value from (select row_id, replace(metadata, '''', '\"') as m from log_events where json_valid(replace(metadata, '''', '\"')) and trim(metadata) like '{%') t, json_each(t.m) j"
+_OWNERS = r"""with g as (select lower(trim(stream_id)) as sid, session, min(log_key) as log_key from recordings group by 1, 2),
+o as (select sid, session, case when upper(sid) like '%EEG%' then 'EEG' when upper(sid) like '%PPG%' then 'PPG' when upper(sid) like '%ACC%' then 'ACC' when upper(sid) like '%GYRO%' then 'GYRO' when upper(sid) like '%BVP%' then 'BVP' when upper(sid) like '%TEMP%' then 'TEMP' when upper(sid) like '%GSR%' then 'GSR' end as modality,
+ case when sid like '%muse%' then 'head' when regexp_matches(sid, '[0-9]') then 'wrist' else 'unknown' end as location, log_key, try_cast(nullif(regexp_extract(split_part(log_key, '_', 1), '(\d+)$', 1), '') as bigint) as user_id from g)
+"""
 _MEAN5 = ", ".join(_r(f"avg({m})") + f" as {m}" for m in C.MEASURES)
 SQL = {
     "equal_merge": "select feature_id, event_row_id, event_name from feature_rows f join stream_events e on lower(trim(f.stream_id)) = lower(trim(e.stream_id)) and f.epoch = e.event_id",
@@ -189,7 +215,7 @@ select st.sid, st.session, {_r(f"coalesce(avg(case when abs(t / 1e6 - start_time
     "previous_lines": f"with {_LINES} select log_key, session, line_no, lag(concat(kind, ': ', marker, ' ', phase)) over (partition by log_key, session order by line_no) as previous from lines",
     "without_repeats": "select log_key, session, marker, start_time, end_time, arg_min(row_id, (coalesce(contains(metadata, 'duration'), false), row_id)) as row_id from log_events group by 1, 2, 3, 4, 5",
     "marker_classes": " union all ".join(f"select row_id, '{c}' as class from log_events where regexp_matches({_NORM}, '{p}')" for c, p in L.CLASSES.items()),
-    "metadata_entries": "select row_id, j.key, j.value->>'$' as value from (select row_id, replace(metadata, '''', '\"') as m from log_events where json_valid(replace(metadata, '''', '\"')) and trim(metadata) like '{%') t, json_each(t.m) j",
+    "metadata_entries": _ENTRIES,
     "trial_spans": rf"""with t as (select log_key, session, row_id, start_time, end_time, regexp_extract({_NORM}, '^(\w+?)_trial_(\d+)_set_(\d+)$', ['task', 'trial', 'set']) as p from log_events where log_key is not null and start_time is not null),
 u as (select *, p.task as task, p.trial as trial, p.set as set from t where p.trial <> ''),
 n as (select *, max(case when trial = '1' then row_id end) over (partition by log_key, session, task, set order by row_id rows between unbounded preceding and 1 preceding) as open_row from u)
@@ -211,6 +237,11 @@ p as (select feature, indicator, cast(count(*) as double) as k, sum(x) as s, sum
 select feature, indicator, {_r('(n * s - sx * k) / nullif(sqrt((n * qx - sx * sx) * (n * k - k * k)), 0)')} as r from p join a using (feature) where indicator is not null and nullif(sqrt((n * qx - sx * sx) * (n * k - k * k)), 0) is not null""",
     "cross_stream_correlations": f"""with v as (select lower(trim(stream_id)) as sid, session, epoch, avg(case when isnan(mean_value) or isinf(mean_value) then null else mean_value end) as v from feature_rows where session >= 1 and epoch >= 0 group by 1, 2, 3)
 select a.sid, b.sid as other, count(*) as epochs, {_r('covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0)', 5)} as r from v a join v b on split_part(a.sid, '_', 1) = split_part(b.sid, '_', 1) and a.session = b.session and a.epoch = b.epoch and a.sid <> b.sid where a.v is not null and b.v is not null group by 1, 2""",
+    "structured_log": f"select log_key, session, row_id, marker, phase, {_r('ts', 4)} as ts from (select log_key, session, row_id, marker, 'started' as phase, start_time as ts from log_events union all select log_key, session, row_id, marker, 'ended', end_time - 0.1 from log_events) where log_key is not null and ts is not null",
+    "form_answers": f"with e as ({_ENTRIES}) select row_id, upper(trim(category)) as form, key as question, value as answer from e join log_events using (row_id) where key like '%?%' and upper(trim(category)) in ('BRUMS', 'SSS', 'VASF', 'LIKERT')",
+    "event_durations": f"with e as (select row_id, min(try_cast(value as double)) as said from ({_ENTRIES}) where key = 'duration' group by 1) select row_id, {_r('coalesce(said, end_time - start_time)', 4)} as duration from log_events left join e using (row_id)",
+    "stream_owners": _OWNERS + "select * from o",
+    "streams_per_user": _OWNERS + "select user_id, modality, count(distinct sid) as streams, count(distinct session) as sessions, count(*) as recordings from o group by 1, 2",
     "series_report": """with s as (select lower(trim(stream_id)) as sid, session, channel, pos, min(ts) as ts, min(value) as value from signal_long group by 1, 2, 3, 4),
 n as (select *, last_value(ts ignore nulls) over (partition by sid, session, channel order by pos rows between unbounded preceding and 1 preceding) as p from s)
 select sid, session, channel, count(*) as rows, count(*) filter (value is null or isnan(value)) as missing, count(*) filter (isinf(value)) as infinite, count(*) filter (ts is null) as no_time, count(*) filter (ts <= p) as not_after from n group by 1, 2, 3""",

@@ -2,18 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import stable
 from pulsegrid.operators import epoch_features as E
+from pulsegrid.operators import kernels as K
 from pulsegrid.operators import series as S
+from pulsegrid.plans.spectral_queries import RATES
 from pulsegrid.plans.series_queries import SIZE, _r, _sig, signal
+from pulsegrid.session import written
 from pulsegrid.streaming import epochs as T
 
 FEATURES = ["mean", "std", "min", "max"]
 
 
+def preprocess(rows: DataFrame, modality: str, factor: int = 1) -> DataFrame:
+    """Clean rows of one modality as epochs, in the order of steps of that modality.
+
+    ACC, GYRO: low-pass, decimate, z-score, epochs by count. PPG: band-pass, decimate, z-score, epochs by count. BVP:
+    band-pass, decimate, epochs by the clock. GSR: decimate, low-pass, scale to 0..1, epochs by the clock. TEMP:
+    decimate, smooth, take off the ramp, scale, epochs by the clock. EEG: high-pass and notch, overlapping epochs,
+    standardised over the recording. Gaps are interpolated before a filter, and what a filter gives is written to the
+    shared folder, as later steps read it more than once.
+    """
+    rate = RATES[modality] / max(factor, 1)
+    times = rows.select(*S.KEYS, "pos", "ts")
+
+    def filtered(df: DataFrame, fn, *args, **kwargs) -> DataFrame:
+        return written(fn(S.interpolate(df), "filled", *args, **kwargs).join(times, [*S.KEYS, "pos"]), "filtered")
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return df.withColumn("value", F.col("scaled")).drop("scaled")
+
+    if modality in ("ACC", "GYRO"):
+        return S.count_epochs(scaled(S.z_score(S.decimate(filtered(rows, K.low_pass, 0.5, RATES[modality]), factor))), int(5 * rate))
+    if modality == "PPG":
+        return S.count_epochs(scaled(S.z_score(S.decimate(filtered(rows, K.band_pass, 0.5, 4.0, RATES[modality]), factor))), int(5 * rate))
+    if modality == "BVP":
+        return S.time_epochs(S.decimate(filtered(rows, K.band_pass, 0.5, 4.0, RATES[modality]), factor), 5.0)
+    if modality == "EEG":
+        smooth = filtered(filtered(rows, K.fir_pass, 1.0, None, RATES[modality]), K.fir_pass, 48.0, 52.0, RATES[modality], stop=True)
+        return S.overlapping_epochs(scaled(S.z_score(smooth, S.STREAM, population=True)), int(5 * rate))
+    times = S.decimate(times, factor)
+    slow = S.decimate(rows, factor)
+    if modality == "GSR":
+        return S.time_epochs(scaled(S.min_max(filtered(slow, K.low_pass, 1.0, rate))), 5.0)
+    level = S.remove_ramp(S.moving_average(slow).withColumn("value", F.col("smooth")).drop("smooth"))
+    return S.time_epochs(scaled(S.min_max(level.withColumn("value", F.col("level")).drop("level"))), 5.0)
+
+
+def preprocessed(spark, folder) -> DataFrame:
+    """Epochs of every modality after its own steps."""
+    parts = [preprocess(signal(spark, folder, m), m).select(*S.KEYS, "epoch", "pos", "value") for m in ("ACC", "PPG", "BVP", "GSR", "TEMP", "EEG")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_store(spark, folder) -> DataFrame:
     """Features of every epoch of every modality in long form: (sid, session, epoch, channel, feature, value)."""
     m = E.moments(S.count_epochs(signal(spark, folder), SIZE))
@@ -33,7 +79,7 @@ def stream_spikes(spark, folder) -> DataFrame:
     return T.drain(s, [], "append")
 
 
-QUERIES = {f.__name__: f for f in (feature_store, stream_epochs, stream_spikes)}
+QUERIES = {f.__name__: f for f in (preprocessed, feature_store, stream_epochs, stream_spikes)}
 SQL = {
     "feature_store": f"with {_sig()}, ep as (select *, pos // {SIZE} as epoch from sig qualify count(*) over (partition by sid, session, channel, pos // {SIZE}) = {SIZE}), m as (select sid, session, epoch, channel, avg(value) as mean, stddev_pop(value) as std, min(value) as min, max(value) as max from ep group by 1, 2, 3, 4) "
     + " union all ".join(f"select sid, session, epoch, channel, '{f}' as feature, {_r(f)} as value from m where {f} is not null" for f in FEATURES),

@@ -154,7 +154,15 @@ def wide_features(spark, folder):
     return m.groupBy("sid", "session", "epoch").agg(*cols)
 
 
-QUERIES = {f.__name__: f for f in (sampling_rates, decimated, held, interpolated, stepped, smoothed, median_filtered, z_scores, min_max, standardised, levelled, rereferenced, cropped, sliced, epoch_moments, eeg_epoch_moments, bvp_moments, mean_power, entropy, motion, crossings, temperature, skin_response, pulse_amplitude, blood_flow, rejected, normality, wide_features)}
+def baselined(spark, folder):
+    return _rounded(S.baseline_by_channel(_epochs(spark, folder, "EEG"), "TP9"), "value").select(*ROW, "epoch", "value")
+
+
+def histograms(spark, folder):
+    return _rounded(S.histogram(signal(spark, folder), ["channel"]), "from", digits=4)
+
+
+QUERIES = {f.__name__: f for f in (sampling_rates, decimated, held, interpolated, stepped, smoothed, median_filtered, z_scores, min_max, standardised, levelled, rereferenced, cropped, sliced, epoch_moments, eeg_epoch_moments, bvp_moments, mean_power, entropy, motion, crossings, temperature, skin_response, pulse_amplitude, blood_flow, rejected, normality, wide_features, baselined, histograms)}
 
 
 def _sig(modality: str | None = None) -> str:
@@ -195,7 +203,7 @@ b as (select *, sqrt(2*(b2-1))-1 as w2, (g2 + 3 - e)/sqrt(v) as x, 6 + 8/s*(2/s
 c as (select *, asinh(y / sqrt(2/(w2-1))) / sqrt(0.5*ln(w2)) as z1, ((1 - 2/(9*aa)) - cbrt((1-2/aa)/(1 + x*sqrt(2/(aa-4))))) / sqrt(2/(9*aa)) as z2 from b)
 """
 SQL = {
-    "sampling_rates": f"with {_sig()}, t as (select sid, session, pos, min(epoch_us(ts)) as t from sig where ts is not null group by 1, 2, 3), r as (select sid, session, (count(*) - 1) / nullif((max(t) - min(t)) / 1e6, 0) as f from t group by 1, 2) select sid, session, {_r('f')} as sfreq, cast(floor(f) as bigint) as sfreq_int, {_r('min(f) over ()')} as min_sfreq from r",
+    "sampling_rates": f"with {_sig()}, t as (select sid, session, pos, min(epoch_us(ts)) as t from sig where ts is not null group by 1, 2, 3), r as (select sid, session, (count(*) - 1) / nullif((max(t) - min(t)) / 1e6, 0) as f from t group by 1, 2) select sid, session, {_r('f')} as sfreq, cast(floor(f) as bigint) as sfreq_int, {_r("min(f) over (partition by split_part(sid, '_', -1))")} as min_sfreq from r",
     "decimated": f"with {_sig('TEMP')} select sid, session, channel, pos // 4 as pos, ts, value from sig where pos % 4 = 0",
     "held": f"with {_sig('BVP')} select sid, session, channel, pos, value, coalesce(last_value(value ignore nulls) over ({_W} rows unbounded preceding), first_value(value ignore nulls) over ({_W} rows between current row and unbounded following)) as filled from sig",
     "interpolated": f"""with {_sig('ACC')}, n as (select *, last_value(value ignore nulls) over ({_W} rows unbounded preceding) as v0, last_value(case when value is not null then pos end ignore nulls) over ({_W} rows unbounded preceding) as p0,
@@ -227,6 +235,8 @@ select sid, session, epoch, {_r('sum(abs(x) + abs(y) + abs(z))')} as sma, {_r('a
     "blood_flow": f"with {_sig('PPG')}, {_EP.replace('SRC', 'sig')}, {_PEAKS.replace('SIGN', '1')}, {_PEAKS.replace('SIGN', '-1').replace('pv', 'dv').replace('ch as', 'dh as').replace('from ch', 'from dh').replace('pk as', 'dk as')}, u as (select sid, session, channel, epoch, avg(value) as up from pk group by 1, 2, 3, 4), d as (select sid, session, channel, epoch, avg(value) as down from dk group by 1, 2, 3, 4) select sid, session, channel, epoch, {_r('any_value(up) - any_value(down)')} as flow from ep left join u using (sid, session, channel, epoch) left join d using (sid, session, channel, epoch) group by 1, 2, 3, 4",
     "rejected": f"with {_sig('EEG')}, {_EEG_EP}, s as (select sid, session, channel, epoch, max(value) - min(value) as span from ep group by 1, 2, 3, 4) select sid, session, epoch, {_r('max(span)')} as span from s group by 1, 2, 3 having max(span) > 150",
     "normality": _NORMAL.replace("with m", f"with {_sig('EEG')}, m", 1) + f"select sid, session, n, {_r('z1*z1 + z2*z2', 3)} as k2, {_r('exp(-(z1*z1 + z2*z2)/2)')} as p from c",
+    "baselined": f"with {_sig('EEG')}, {_EP.replace('SRC', 'sig')}, b as (select sid, session, epoch, avg(value) as b from ep where channel = 'TP9' group by 1, 2, 3) select sid, session, channel, pos, epoch, {_r('value - b')} as value from ep left join b using (sid, session, epoch)",
+    "histograms": f"with {_sig()}, g as (select channel, value, min(value) over c as a, max(value) over c as z from sig where value is not null window c as (partition by channel)), h as (select *, cast(coalesce(least(floor((value - a) / nullif((z - a) / 50, 0)), 49), 0) as bigint) as bin from g) select channel, bin, {_r('any_value(a) + bin * any_value((z - a) / 50)', 4)} as \"from\", count(*) as readings from h group by channel, bin",
     "wide_features": f"with {_sig('ACC')}, {_EP.replace('SRC', 'sig')}, m as (select sid, session, channel, epoch, avg(value) as mean, stddev_pop(value) as std, min(value) as min, max(value) as max from ep group by 1, 2, 3, 4) select sid, session, epoch, "
     + ", ".join(f"max(case when channel = '{c}' then {_r(f)} end) as acc_{c.lower()}_{f}" for c in "XYZ" for f in ("mean", "std", "min", "max"))
     + " from m group by 1, 2, 3",

@@ -10,7 +10,7 @@ from pulsegrid.operators import series as S
 from pulsegrid.plans.series_queries import signal
 
 #: Sampling rates in Hz of the recordings. Fixed values.
-RATES = {"EEG": 256.0, "PPG": 64.0, "BVP": 64.0, "ACC": 32.0, "GSR": 4.0, "TEMP": 4.0}
+RATES = {"EEG": 256.0, "PPG": 64.0, "BVP": 64.0, "ACC": 32.0, "GYRO": 32.0, "GSR": 4.0, "TEMP": 4.0}
 
 
 def _filled(spark, folder, modality):
