@@ -22,8 +22,8 @@ def with_neighbours(df: DataFrame, keys: list[str], pos: str, item: Column, prev
     k = [*keys, "_b"]
     up, down = Window.partitionBy(*k).orderBy(pos), Window.partitionBy(*k).orderBy(F.col(pos).desc())
     to_here = (Window.unboundedPreceding, -1)
-    ends = d.where(F.col("_item").isNotNull()).groupBy(*k).agg(F.max_by("_item", pos).alias("_last"), F.min_by("_item", pos).alias("_first"))
-    spine = d.select(*k).distinct().join(ends, k, "left")
+    at = F.when(F.col("_item").isNotNull(), F.col(pos))
+    spine = d.groupBy(*k).agg(F.max_by("_item", at).alias("_last"), F.min_by("_item", at).alias("_first"))  # null in a block without items
     w, v = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.col("_b").desc())
     carried = spine.select(*k, F.last("_last", ignorenulls=True).over(w.rowsBetween(*to_here)).alias("_from"), F.last("_first", ignorenulls=True).over(v.rowsBetween(*to_here)).alias("_to"))
     inside = d.withColumn("_in_p", F.last("_item", ignorenulls=True).over(up.rowsBetween(*to_here))).withColumn("_in_n", F.last("_item", ignorenulls=True).over(down.rowsBetween(*to_here)))

@@ -39,6 +39,13 @@ def test_zero_phase_filter_keeps_a_slow_wave_and_constants():
     assert flat == pytest.approx(np.full(40, 3.0))
 
 
+@pytest.mark.parametrize("order, low, high", [(5, None, 0.5), (3, 0.5, 4.0), (2, 1.0, None), (2, None, 0.0005)])
+def test_convolution_equals_recursion(order, low, high):
+    x = np.cumsum(np.random.default_rng(5).normal(size=(3, 900)), axis=1) + 40
+    sos = K.butterworth(order, low, high, 32.0)
+    assert K._run(sos, x) == pytest.approx(K.recurse(sos, x), abs=1e-8)
+
+
 def test_chunks_equal_the_whole_series(spark):
     x = np.cumsum(np.random.default_rng(0).normal(size=3000))
     df = frame(spark, x)
