@@ -21,6 +21,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Here a text can be cut without a piece changing: a run of white space begins a piece whatever stands before it.
 CUT = regex.compile(r"(?<=\S)(?=\s)")
 SLICE = 1 << 18  # characters of a text worked on at a time
+IDS = 4096  # ids whose bytes the decoder takes at a time
 MEMO = 400_000  # pieces remembered per worker
 
 
@@ -188,12 +189,14 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, key: str) -> Iterator[pa.RecordBatch]:
-    tokens = encoder(path).merges.tokens
+    token = encoder(path).merges.tokens.__getitem__
     for b in batches:
         texts = []
         for row in b["ids"]:
             state = codecs.getincrementaldecoder("utf-8")("replace")  # holds the bytes of an unfinished character
-            texts.append("".join([state.decode(tokens[i]) for i in row.as_py() or ()]) + state.decode(b"", True))
+            ids = row.values.to_numpy(zero_copy_only=False) if row.is_valid else ()
+            parts = [state.decode(b"".join(map(token, ids[k : k + IDS].tolist()))) for k in range(0, len(ids), IDS)]
+            texts.append("".join(parts) + state.decode(b"", True))
         yield pa.RecordBatch.from_arrays([b[key], pa.array(texts, pa.string())], [key, "text"])
 
 
