@@ -109,7 +109,7 @@ def mix(docs: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS, tokenizer
     tokens come to their target shares of the largest total that the repeats allow, and no document is used more
     often than its source allows. Sources are the same after trimming and lower-casing. A document without a source
     counts for each source with its predicted probability, and may be used as often as the strictest source with 5 %
-    or more allows; `source` is then the likeliest one and `guessed` is true. Documents of a source without target,
+    or more allows; `source` is then drawn by those probabilities, by a hash of doc_id, and `guessed` is true. Documents of a source without target,
     and documents without tokens, are not used. Shares are scaled to a sum of 1; a share or repeats that are null
     or not positive are 0. A target source without documents makes the mix empty, as its share cannot be reached.
     Repeated doc_ids are used alike.
@@ -124,9 +124,10 @@ def mix(docs: DataFrame, targets: DataFrame, fit_rows: int = FIT_ROWS, tokenizer
     sizes = written(document_sizes(docs, fit_rows, tokenizers, vocabulary), "sizes")
     members = memberships(sizes, names).where(F.col("p").isNotNull() & (F.col("tokens") > 0))
     cap = F.array_min(F.transform(F.filter(F.zip_with("p", F.array(*map(F.lit, caps)).cast("array<double>"), lambda p, c: F.struct(p.alias("p"), c.alias("c"))), lambda x: x["p"] >= 0.05), lambda x: x["c"]))
-    top = F.array_position("p", F.array_max("p")).cast("int")
-    likely = F.element_at(F.array(*map(F.lit, names)).cast("array<string>"), top) if names else F.lit(None).cast("string")
-    members = written(members.select("doc_id", F.coalesce("source", likely).alias("source"), F.col("source").isNull().alias("guessed"), "tokens", "p", F.coalesce(cap, F.lit(0.0)).alias("cap")), "members")
+    u = F.pmod(F.xxhash64("doc_id", F.lit("member")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    below = F.filter(F.sequence(F.lit(1), F.lit(max(1, len(names) - 1))), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0.0), lambda x, y: x + y) <= u)
+    drawn = F.element_at(F.array(*map(F.lit, names)).cast("array<string>"), F.least(F.size(below) + 1, F.lit(len(names)))) if names else F.lit(None).cast("string")
+    members = written(members.select("doc_id", F.coalesce("source", drawn).alias("source"), F.col("source").isNull().alias("guessed"), "tokens", "p", F.coalesce(cap, F.lit(0.0)).alias("cap")), "members")
     groups = written(members.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")), "groups")
     moves, total = fit_rates(groups, shares)
     rated = members.withColumn("rate", _rate(moves) if total > 0 else F.lit(0.0)).withColumn("base", F.floor("rate")).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(BINS)).cast("int"))
