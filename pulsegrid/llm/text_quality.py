@@ -54,6 +54,8 @@ LONG, PIECE_CHARS = 200, 120
 LABEL_RUN = 3
 #: So many lines in a row shorter than SHORT_LINE, none ending as sentences do, are a list whatever words they have.
 SHORT_RUN, SHORT_LINE = 5, 36
+#: A label-like segment of so many signs that has a function word and ends as sentences do is a sentence.
+SENTENCE_CHARS = 40
 #: A segment with a number and a sign such as = or -> between blanks for every so many characters is a table row.
 CHARS_PER_PAIR = 45
 #: Characters worked on at a time.
@@ -185,6 +187,11 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     structure[(structure == 0) & (sentence == 0) & (shares[:, 4] > 0.25)] = 2
     structure[(pairs * CHARS_PER_PAIR >= total) & (pairs > 0) & (shares[:, 4] > 0.05)] = 2
 
+    end_sign = np.zeros(n_seg, np.uint16)
+    end_sign[seg[inked]] = c16[inked]
+    full_stop = np.isin(end_sign, [ord(c) for c in STOPS])
+    structure[(structure == 4) & full_stop & (shares[:, 0] > 0) & (total >= SENTENCE_CHARS)] = 0
+
     # a few labels in a row are headings, more are a list; blank segments do not count
     real = np.flatnonzero(total > 0)
     label = structure[real] == 4
@@ -195,9 +202,7 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     if len(real):
         nb = np.append([9], structure[real][:-1]), np.append(structure[real][1:], [9])
         between = np.isin(nb[0], (1, 2)) & np.isin(nb[1], (1, 2))
-    end_sign = np.zeros(n_seg, np.uint16)
-    end_sign[seg[inked]] = c16[inked]
-    stub = (total[real] < SHORT_LINE) & ~np.isin(end_sign[real], [ord(c) for c in STOPS])
+    stub = (total[real] < SHORT_LINE) & ~full_stop[real]
     stub_run = np.cumsum(np.append(True, (stub[1:] != stub[:-1]) | (seg_doc[real][1:] != seg_doc[real][:-1]))) - 1 if len(real) else run
     many = stub & (np.bincount(stub_run)[stub_run] >= SHORT_RUN) if len(real) else stub
     structure[real[label]] = np.where((length[label] >= LABEL_RUN) | between[label], 1, 0)

@@ -81,3 +81,9 @@ def test_divergence():
     p = np.array(list(Q.PROFILES.values()))
     near, d = Q.nearest_profile(p / p.sum(axis=1, keepdims=True))
     assert near.tolist() == list(range(len(p))) and np.abs(d).max() < 1e-9
+
+
+def test_a_sentence_with_few_function_words_is_no_heading():
+    text = "Improved barrel for compact imaging optics\nSummary\nThe object is achieved by a mirror having the features set out in the independent claims."
+    d = Q.describe([text, "housing\nvalve seat\ncover plate\nspring washer\nbushing\nsealing ring"])
+    assert d["prose_share"][0] > 0.5 and d["prose_share"][1] == 0
