@@ -22,7 +22,7 @@ PLAUSIBLE = {
 STUCK = 12  # successive equal readings
 GROUP = 3  # readings of one spike at most
 LIMIT = 10.0  # median steps that a spike exceeds
-PEAK = 3.0  # median steps from which a residual counts as a peak
+PEAK = 1.0  # median steps from which a residual counts as a peak
 RISK = 1e-4  # share of ordinary readings that may exceed the tail cutoff
 MIN_PEAKS = 10
 BLOCK = 8192  # positions of one source in a block

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pulsegrid.operators.spikes import PLAUSIBLE, excursions, flag_readings, run_lengths
+from pulsegrid.operators.spikes import LIMIT, PEAK, PLAUSIBLE, excursions, flag_readings, judge_readings, run_lengths, tail_model
 
 READ = "stream_id string, session int, channel string, pos bigint, value double, score string, block string, unit string"
 
@@ -76,7 +76,13 @@ def test_short_constant_and_empty_sources(spark):
 def test_candidates_have_a_cutoff_within_bounds(spark):
     df = spark.createDataFrame(rows(series(3, 3000)), READ)
     out = flag_readings(df).where("spike").collect()
-    assert out and all(3 * r.unit <= r.cutoff <= 10 * r.unit + 1e-12 and r.score > r.cutoff for r in out)
+    assert out and all(PEAK * r.unit <= r.cutoff <= LIMIT * r.unit + 1e-12 and r.score > r.cutoff for r in out)
+
+
+def test_tail_fit_sets_a_cutoff_of_its_own(spark):
+    rng = np.random.default_rng(12)
+    m = tail_model(judge_readings(spark.createDataFrame([("s", 1, "AF7", i, float(v), "", "", "") for i, v in enumerate(rng.normal(0, 5, 6000))], READ))).first()
+    assert m.peaks >= 300 and PEAK * m.unit < m.cutoff < LIMIT * m.unit
 
 
 def test_helpers():
