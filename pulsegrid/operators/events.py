@@ -95,6 +95,40 @@ def sync_shifts(spikes: DataFrame, log: DataFrame, recordings: DataFrame, around
     return streams.select("sid", "session").join(near.groupBy("sid", "session").agg(F.avg("d").alias("shift")), ["sid", "session"], "left").na.fill(0.0, ["shift"])
 
 
+def sync_windows(log: DataFrame) -> DataFrame:
+    """The second sync marker of each log with the window to search for its spikes, half its own duration on either side
+    of its start: (log_key, session, start_time, opens, closes). A marker without a positive duration has none: opens and closes are null."""
+    m = F.lower("marker")
+    s = log.where(F.col("log_key").isNotNull() & F.col("start_time").isNotNull() & m.contains("sync") & ~m.contains("instr"))
+    w = Window.partitionBy("log_key", "session").orderBy("start_time", "row_id")
+    half = F.when(F.col("end_time") > F.col("start_time"), (F.col("end_time") - F.col("start_time")) / 2)
+    return s.withColumn("n", F.row_number().over(w)).where(F.col("n") == 2).select("log_key", "session", "start_time", (F.col("start_time") - half).alias("opens"), (F.col("start_time") + half).alias("closes"))
+
+
+def window_shifts(wide: DataFrame, log: DataFrame, recordings: DataFrame, threshold: float, apart_us: int = 1_000_000) -> DataFrame:
+    """Seconds by which a log is off by the accelerometers recorded with it: the mean time of the spikes inside the window
+    of its second sync marker, each more than `apart_us` after the last one kept there, minus that marker.
+
+    (sid, session, log_key, shift) for every stream in `wide` of a log with two sync markers; 0 where its own window has no spike."""
+    second = small_side(sync_windows(log), "sync")
+    owners = recordings.select(entity_key("stream_id").alias("sid"), "session", "log_key").distinct()
+    streams = small_side(wide.select("sid", "session").distinct().join(owners, ["sid", "session"]).join(second, ["log_key", "session"]), "streams")
+    at = micros("ts") / 1e6
+    near = wide.join(streams.select("sid", "session", "opens", "closes"), ["sid", "session"]).where(at.between(F.col("opens"), F.col("closes"))).select(*wide.columns)
+    d = spaced_spikes(near, threshold, apart_us).join(streams, ["sid", "session"]).groupBy("sid", "session").agg(F.avg(F.col("t") / 1e6 - F.col("start_time")).alias("shift"))
+    return streams.select("sid", "session", "log_key").join(d, ["sid", "session"], "left").na.fill(0.0, ["shift"])
+
+
+def shift_markers(log: DataFrame, shifts: DataFrame, yoga_early_s: float = 120.0) -> DataFrame:
+    """All markers of the logs moved by the shift of their log: (row_id, log_key, session, marker, category, start_time,
+    duration_s). Yoga poses start `yoga_early_s` earlier; durations are those before any move. Logs without a shift stay
+    as they are; of several accelerometers of a log the last by id counts."""
+    s = small_side(shifts.groupBy("log_key", "session").agg(F.max_by("shift", "sid").alias("shift")), "shifts")
+    m = log.where(F.col("log_key").isNotNull() & F.col("start_time").isNotNull()).join(s, ["log_key", "session"], "left")
+    early = F.when(F.col("category") == "Yoga Poses", yoga_early_s).otherwise(0.0)
+    return m.select("row_id", "log_key", "session", "marker", "category", (F.col("start_time") - early + F.coalesce("shift", F.lit(0.0))).alias("start_time"), (F.col("end_time") - F.col("start_time")).alias("duration_s"))
+
+
 def annotations(recordings: DataFrame, log: DataFrame) -> DataFrame:
     """Log markers that start within a recording of their log: (sid, session, row_id, marker, onset_s, duration_s)."""
     r = recordings.select(entity_key("stream_id").alias("sid"), "session", "log_key", (micros("rec_start") / 1e6).alias("a"), (micros("rec_end") / 1e6).alias("z"))

@@ -16,6 +16,8 @@ from pulsegrid.session import table
 
 CATEGORIES = ["Trial Sets", "Rest Events", "Sync Events"]
 SPIKE, APART_US, AROUND_S = 9.9, 250_000, 600.0
+#: Magnitude of a sync spike in m/s2, above that at rest (9.93 at the median of the test data), and the microseconds between two.
+SYNC_SPIKE, SYNC_APART_US = 12.0, 1_000_000
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +67,16 @@ def sync_shifts(spark, folder):
     return s.withColumn("shift", stable(F.col("shift"), 3))
 
 
+def window_shifts(spark, folder):
+    s = V.window_shifts(_wide(spark, folder), _t(spark, folder, "log_events"), _t(spark, folder, "recordings"), SYNC_SPIKE, SYNC_APART_US)
+    return s.withColumn("shift", stable(F.col("shift"), 3))
+
+
+def shifted_markers(spark, folder):
+    m = V.shift_markers(_t(spark, folder, "log_events"), window_shifts(spark, folder))
+    return m.withColumn("start_time", stable(F.col("start_time"), 3)).withColumn("duration_s", stable(F.col("duration_s"), 3))
+
+
 def annotations(spark, folder):
     a = V.annotations(_t(spark, folder, "recordings"), _t(spark, folder, "log_events"))
     return a.withColumn("onset_s", stable(F.col("onset_s"), 5)).withColumn("duration_s", stable(F.col("duration_s"), 5))
@@ -166,7 +178,7 @@ def streams_per_user(spark, folder):
     return K.streams_per_user(_t(spark, folder, "recordings"))
 
 
-QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
+QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -183,6 +195,11 @@ mag as (select *, sqrt(x*x + y*y + z*z) as mag from w)"""
 _SPIKES = f"""{_WIDE}, l as (select sid, session, list_sort(list(distinct epoch_us(ts))) as l from mag where mag > {SPIKE} and ts is not null group by 1, 2),
 sp as (select sid, session, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: if(x[1] - acc[-1] > {APART_US}, list_concat(acc, x), acc))) as t from l)"""
 _SYNC = "sm as (select * from (select log_key, session, row_number() over (partition by log_key, session order by start_time, row_id) as n, start_time from log_events where log_key is not null and start_time is not null and lower(marker) like '%sync%' and lower(marker) not like '%instr%') where n <= 2)"
+_SHIFTS = f"""{_WIDE}, sy as (select log_key, session, row_number() over (partition by log_key, session order by start_time, row_id) as n, start_time, case when end_time > start_time then (end_time - start_time) / 2 end as half from log_events where log_key is not null and start_time is not null and lower(marker) like '%sync%' and lower(marker) not like '%instr%'),
+st as (select distinct sid, session, log_key, start_time, half from (select lower(trim(stream_id)) as sid, session, log_key from recordings) join sy using (log_key, session) join (select distinct sid, session from w) using (sid, session) where n = 2),
+l as (select sid, session, list_sort(list(distinct epoch_us(ts))) as l from mag join st using (sid, session) where mag > 12 and epoch_us(ts) / 1e6 between start_time - half and start_time + half group by 1, 2),
+sp as (select sid, session, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: if(x[1] - acc[-1] > 1000000, list_concat(acc, x), acc))) as t from l),
+sh as (select st.sid, st.session, st.log_key, {_r("coalesce(avg(t / 1e6 - start_time), 0)", 3)} as shift from st left join sp using (sid, session) group by 1, 2, 3)"""
 _LINES = r"""lines as (select log_key, session, row_id * 2 + n as line_no, case when n = 0 then start_time else end_time end as ts,
  case category when 'Trial Sets' then 'block_trial' when 'Zero Score Trials' then 'block_trial' when 'Sync Events' then 'block_sync' when 'Rest Events' then 'block_rest' when 'Accuracy Events' then 'block_acc' when 'Instruction Events' then 'block_instr' else 'block_info' end as kind,
  marker, case when n = 0 then 'started' else 'ended' end as phase from log_events, (values (0), (1)) v(n) where log_key is not null and marker is not null and case when n = 0 then start_time else end_time end is not null),
@@ -208,6 +225,9 @@ select event_row_id, event_name, log_row_id, category, metadata as log_metadata
     "sync_markers": f"with {_SYNC} select * from sm",
     "sync_shifts": f"""with {_SPIKES}, {_SYNC}, st as (select distinct lower(trim(stream_id)) as sid, session, start_time from recordings join sm using (log_key, session) where n = 2)
 select st.sid, st.session, {_r(f"coalesce(avg(case when abs(t / 1e6 - start_time) <= {AROUND_S} then t / 1e6 - start_time end), 0)", 3)} as shift from st left join sp using (sid, session) group by 1, 2""",
+    "window_shifts": f"with {_SHIFTS} select * from sh",
+    "shifted_markers": f"""with {_SHIFTS}, one as (select log_key, session, arg_max(shift, sid) as shift from sh group by 1, 2)
+select row_id, log_key, session, marker, category, {_r("start_time - case when category = 'Yoga Poses' then 120 else 0 end + coalesce(shift, 0)", 3)} as start_time, {_r("end_time - start_time", 3)} as duration_s from log_events left join one using (log_key, session) where log_key is not null and start_time is not null""",
     "annotations": f"select lower(trim(stream_id)) as sid, session, row_id, marker, {_r('start_time - epoch_us(rec_start) / 1e6', 5)} as onset_s, {_r('end_time - start_time', 5)} as duration_s from log_events join recordings using (log_key, session) where start_time between epoch_us(rec_start) / 1e6 and epoch_us(rec_end) / 1e6",
     "log_bounds": "select log_key, session, min(start_time) as first_start, max(end_time) as last_end from log_events where log_key is not null group by 1, 2",
     "parsed_lines": f"with {_LINES} select log_key, session, line_no, ts, kind, name, phase, attempt from tried",
