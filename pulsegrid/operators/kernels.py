@@ -359,3 +359,57 @@ def _resample(t: pa.Table, starts: np.ndarray, size: int) -> pa.Table:
 def resample_epochs(epochs: DataFrame, size: int) -> DataFrame:
     """Every epoch as `size` values over the same time; its `value` has no gaps."""
     return sorted_groups(epochs.select(*KEYS, "epoch", "pos", "value"), [*KEYS, "epoch"], ["pos"], partial(_resample, size=size), "sid string, session int, channel string, epoch bigint, pos bigint, value double")
+
+
+#: Taps on either side of the filter that a series is resampled with.
+REACH = 512
+
+
+@lru_cache(maxsize=4)
+def _phases(up: int, down: int) -> np.ndarray:
+    """Windowed-sinc filters (Kaiser) for each of the `up` places that a new instant has between two old ones."""
+    t = np.arange(-REACH, REACH + 1)[None, :] - (np.arange(up) * down % up / up)[:, None]
+    h = np.sinc(min(up / down, 1.0) * t) * np.i0(8 * np.sqrt(np.clip(1 - (t / (REACH + 1)) ** 2, 0, None)))
+    return h / h.sum(axis=1, keepdims=True)
+
+
+def resample_at(x: np.ndarray, first: int, ks: np.ndarray, up: int, down: int) -> np.ndarray:
+    """The band-limited series at the positions ks * down / up; x begins at position `first` and goes on oddly beyond its ends."""
+    p = min(REACH, len(x) - 1)
+    y = np.concatenate([2 * x[0] - x[p:0:-1], x, 2 * x[-1] - x[-2 : -p - 2 : -1]]) if p else x
+    y = np.pad(y, REACH + 2 - p, mode="edge")
+    windows = np.lib.stride_tricks.sliding_window_view(y, 2 * REACH + 1)
+    at, h, out = ks * down // up - first + 2, _phases(up, down), np.empty(len(ks))
+    for r in range(up):
+        k = ks % up == r
+        out[k] = windows[at[k]] @ h[r]
+    return out
+
+
+def _resample_chunks(t: pa.Table, starts: np.ndarray, up: int, down: int, chunk: int) -> pa.Table:
+    x, pos, block, home = numbers(t, "x"), numbers(t, "pos"), numbers(t, "_b"), np.asarray(t["_home"])
+    rows, ks, ys = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, b in zip(starts, np.append(starts[1:], t.num_rows)):
+        if not home[a:b].any():
+            continue
+        p, edge = pos[a:b], int(block[a]) * chunk
+        first, last = int(p[0]), int(p[-1])
+        v = x[a:b] if last - first == b - a - 1 else np.interp(np.arange(first, last + 1), p, x[a:b])
+        low = -(-max(edge, first) * up // down)
+        high = -(-(edge + chunk) * up // down) if last >= edge + chunk else int(np.floor((last + 1) * up / down + 0.5))
+        k = np.arange(low, high)
+        rows.append(np.full(len(k), a))
+        ks.append(k)
+        ys.append(resample_at(v, first, k, up, down))
+    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return t.select(KEYS).take(pa.array(at)).append_column("pos", pa.array(np.concatenate(ks))).append_column("value", pa.array(np.concatenate(ys)))
+
+
+def resample_series(rows: DataFrame, value: str, up: int, down: int, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """Whole series at up / down times their rate: (sid, session, channel, pos, value), pos counting the new instants, of
+    which n old ones give n * up / down, rounded. No gaps in `value` (see interpolate); absent positions are interpolated.
+
+    Chunks get `halo` positions of their neighbours, which is more than the filter reaches, so borders change nothing."""
+    x = rows.select(*KEYS, "pos", rows[value].alias("x"))
+    h = with_halo(x, KEYS, "pos", before=halo, after=halo, block=chunk)
+    return sorted_groups(h, [*KEYS, "_b"], ["pos"], partial(_resample_chunks, up=up, down=down, chunk=chunk), "sid string, session int, channel string, pos bigint, value double")

@@ -18,8 +18,9 @@ def _filled(spark, folder, modality):
 
 
 def _epochs(spark, folder, modality, size):
+    """Epochs by count, the last one of a series as short as it is."""
     rows = _filled(spark, folder, modality).withColumn("value", F.col("filled"))
-    return S.count_epochs(rows, size)
+    return rows.withColumn("epoch", F.floor(F.col("pos") / size))
 
 
 def low_passed(spark, folder):
@@ -66,14 +67,19 @@ def eeg_coherence(spark, folder):
     return K.coherence(_epochs(spark, folder, "EEG", 128), RATES["EEG"], 64)
 
 
+def _sized_morlet(x, rate):
+    return K.morlet(x, rate) | {"n": float(len(x))}
+
+
 def wavelet_powers(spark, folder):
-    """Power over time and frequency, averaged over the epochs of a recording."""
-    w = K.wavelet_powers(_epochs(spark, folder, "EEG", 128), RATES["EEG"])
-    return w.groupBy("sid", "session", "channel").agg(*[F.avg(c).alias(c) for c in K.WAVELETS])
+    """Power over time and frequency, averaged over the epochs of a recording by their readings."""
+    w = K.measure_epochs(_epochs(spark, folder, "EEG", 128), _sized_morlet, [*K.WAVELETS, "n"], RATES["EEG"])
+    return w.groupBy("sid", "session", "channel").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in K.WAVELETS])
 
 
 def resampled(spark, folder):
-    return K.resample_epochs(_epochs(spark, folder, "EEG", 128), 100)
+    """EEG at 200 Hz instead of 256, over whole recordings; the epoch counts 100 new instants, half a second."""
+    return K.resample_series(_filled(spark, folder, "EEG"), "filled", 25, 32).select(*S.KEYS, F.floor(F.col("pos") / 100).alias("epoch"), "pos", "value")
 
 
 QUERIES = {f.__name__: f for f in (low_passed, pulse_band, ppg_band, skin_low_passed, eeg_band, eeg_notch, eeg_high_passed, pulse_measures, ppg_pulse_measures, band_powers, eeg_coherence, wavelet_powers, resampled)}
