@@ -84,6 +84,18 @@ def classes(log: DataFrame) -> DataFrame:
     return log.where(F.col("marker").isNotNull()).select("row_id", F.explode(said).alias("class"))
 
 
+def event_classes(log: DataFrame) -> DataFrame:
+    """A row per class of an event, by its marker and the score in its metadata: an instruction is no sync, rest or form
+    event, a form is of the first kind named, and a score of 0 is a class of its own."""
+    m = F.coalesce(F.regexp_replace(F.lower(F.trim("marker")), r"[\s-]", "_"), F.lit(""))
+    said = F.from_json("metadata", "map<string,string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    zero = F.try_element_at(said, F.lit("score")).try_cast("double") == 0
+    forms = [c for c in CLASSES if c in FORMS]
+    form = F.coalesce(*[F.when(m.rlike(CLASSES[c]), F.lit(c)) for c in forms])
+    other = [F.when(m.rlike(p) if c not in ("Sync Events", "Rest Events") else m.rlike(p) & ~m.contains("instr"), F.lit(c)) for c, p in CLASSES.items() if c not in forms]
+    return log.select("row_id", F.explode(F.array_compact(F.array(*other, F.when(~m.contains("instr"), form), F.when(zero, F.lit("Zero Score Trials"))))).alias("class"))
+
+
 def metadata_entries(log: DataFrame) -> DataFrame:
     """The entries of metadata written as a dictionary in either notation: (row_id, key, value); other texts have none."""
     m = F.from_json(F.regexp_replace("metadata", "'", '"'), "map<string,string>")

@@ -110,6 +110,10 @@ def marker_classes(spark, folder):
     return L.classes(_t(spark, folder, "log_events"))
 
 
+def event_classes(spark, folder):
+    return L.event_classes(_t(spark, folder, "log_events"))
+
+
 def metadata_entries(spark, folder):
     return L.metadata_entries(_t(spark, folder, "log_events"))
 
@@ -178,7 +182,7 @@ def streams_per_user(spark, folder):
     return K.streams_per_user(_t(spark, folder, "recordings"))
 
 
-QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
+QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, event_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -235,6 +239,11 @@ select row_id, log_key, session, marker, category, {_r("start_time - case when c
     "previous_lines": f"with {_LINES} select log_key, session, line_no, lag(concat(kind, ': ', marker, ' ', phase)) over (partition by log_key, session order by line_no) as previous from lines",
     "without_repeats": "select log_key, session, marker, start_time, end_time, arg_min(row_id, (coalesce(contains(metadata, 'duration'), false), row_id)) as row_id from log_events group by 1, 2, 3, 4, 5",
     "marker_classes": " union all ".join(f"select row_id, '{c}' as class from log_events where regexp_matches({_NORM}, '{p}')" for c, p in L.CLASSES.items()),
+    "event_classes": r"""with k as (select row_id, regexp_replace(lower(trim(coalesce(marker, ''))), '[\s-]', '_', 'g') as m, try_cast(nullif(regexp_extract(metadata, '[''"]score[''"]\s*:\s*[''"]?(-?[0-9.]+)', 1), '') as double) as score from log_events),
+c as (select row_id, unnest([case when regexp_matches(m, 'trial_[0-9]+_set') then 'Trial Sets' end, case when contains(m, 'acc') then 'Accuracy Events' end, case when contains(m, 'instr') then 'Instruction Events' end, case when score = 0 then 'Zero Score Trials' end,
+ case when contains(m, 'sync') and not contains(m, 'instr') then 'Sync Events' end, case when contains(m, 'rest') and not contains(m, 'instr') then 'Rest Events' end,
+ case when contains(m, 'instr') then null when contains(m, 'brums') then 'BRUMS' when contains(m, 'sss') then 'SSS' when contains(m, 'vasf') then 'VASF' when contains(m, 'likert') then 'LIKERT' end]) as class from k)
+select * from c where class is not null""",
     "metadata_entries": _ENTRIES,
     "trial_spans": rf"""with t as (select log_key, session, row_id, start_time, end_time, regexp_extract({_NORM}, '^(\w+?)_trial_(\d+)_set_(\d+)$', ['task', 'trial', 'set']) as p from log_events where log_key is not null and start_time is not null),
 u as (select *, p.task as task, p.trial as trial, p.set as set from t where p.trial <> ''),
