@@ -112,6 +112,16 @@ def trial_spans(log: DataFrame, last: int) -> DataFrame:
     return n.where((F.col("trial") == str(last)) & F.col("_p").isNotNull()).select("log_key", "session", "task", "set", F.col("_p.row_id").alias("open_row"), F.col("row_id").alias("close_row"), F.col("_p.start_time").alias("start_time"), "end_time")
 
 
+def set_spans(log: DataFrame) -> DataFrame:
+    """Spans of whole trial sets: from the trial numbered 1 to the first one after it numbered 20, of final tests 60."""
+    m = F.regexp_replace(F.lower(F.trim("marker")), r"[\s-]", "_")
+    pattern = r"^(\w+?)_trial_(\d+)_set_(\d+)$"
+    t = log.where(F.col("log_key").isNotNull() & F.col("start_time").isNotNull()).select("log_key", "session", "row_id", "start_time", "end_time", F.regexp_extract(m, pattern, 1).alias("task"), F.regexp_extract(m, pattern, 3).alias("set"), F.regexp_extract(m, pattern, 2).alias("trial"))
+    opens, closes = F.col("trial") == "1", F.col("trial") == F.when(F.col("task") == "final_test", "60").otherwise("20")
+    n = with_neighbours(t.where(opens | closes), ["log_key", "session", "task", "set"], "row_id", F.struct("row_id", "start_time", "trial"), "_p", "_n")
+    return n.where(closes & (F.col("_p.trial") == "1")).select("log_key", "session", "task", "set", F.col("_p.row_id").alias("open_row"), F.col("row_id").alias("close_row"), F.col("_p.start_time").alias("start_time"), "end_time")
+
+
 def follow_on(log: DataFrame, category: str, pause_ms: int = 300_000) -> DataFrame:
     """The events of a category laid out one after the other, in row order, from `pause_ms` after the log's last end:
     (row_id, marker, occurrence, start_ms, end_ms). Events without a duration take none."""

@@ -126,6 +126,14 @@ def follow_on(spark, folder):
     return L.follow_on(_t(spark, folder, "log_events"), "Rest Events")
 
 
+def set_spans(spark, folder):
+    return L.set_spans(_t(spark, folder, "log_events"))
+
+
+def yoga_schedule(spark, folder):
+    return L.follow_on(_t(spark, folder, "log_events"), "Yoga Poses")
+
+
 def average_over_users(spark, folder):
     a = C.average_over_users(_merged(spark, folder))
     return a.withColumns({m: stable(F.col(m)) for m in C.MEASURES})
@@ -145,6 +153,12 @@ def one_hot_categories(spark, folder):
     return hot.select("row_id", *[f"category_{c}" for c in CATEGORIES])
 
 
+def category_indicators(spark, folder):
+    """An indicator for every category that the log has."""
+    hot = C.one_hot(_t(spark, folder, "log_events"), "category")
+    return hot.select("row_id", *[f"`{c}`" for c in hot.columns if c.startswith("category_")])
+
+
 def type_codes(spark, folder):
     return C.codes(_t(spark, folder, "stream_events"), "event_type", "event_row_id").select("event_row_id", "code")
 
@@ -182,7 +196,7 @@ def streams_per_user(spark, folder):
     return K.streams_per_user(_t(spark, folder, "recordings"))
 
 
-QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, event_classes, metadata_entries, trial_spans, follow_on, average_over_users, representative_events, padded_average, one_hot_categories, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
+QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, event_classes, metadata_entries, trial_spans, set_spans, follow_on, yoga_schedule, average_over_users, representative_events, padded_average, one_hot_categories, category_indicators, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
 
 
 def _r(x: str, digits: int = 6) -> str:
