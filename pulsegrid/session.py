@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.errors import ConfigurationError
+
 #: Rows up to which a table may be sent to every executor. The rows sent are narrow (under 200 bytes), so a
 #: broadcast stays under about 60 MB whatever the input is.
 BROADCAST_ROWS = 300_000
@@ -33,21 +37,54 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a session on one machine takes a temporary folder, which it sets as its checkpoint folder; on a
+    cluster there is no folder to guess, and a ConfigurationError says what to set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+#: Folders written by `written` and not removed yet, oldest first.
+_folders: list[str] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, which `scratch` removes."""
+    path = os.path.join(shared_folder(spark), f"pulsegrid-{label}-{uuid.uuid4().hex}")
+    _folders.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: later steps start from files that outlive any executor."""
-    path = os.path.join(shared_folder(df.sparkSession), f"pulsegrid-{label}-{uuid.uuid4().hex}")
+    """Writes `df` to the shared folder and reads it back: later steps start from files that outlive any executor. The files
+    stay until the `scratch` that they were written in ends."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators wrote to the shared folder inside it. Results that were not written elsewhere by
+    then can no longer be read, so the scope has to hold the action too."""
+    first = len(_folders)
+    try:
+        yield
+    finally:
+        done = _folders[first:]
+        del _folders[first:]
+        for folder in done:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.columns import entity_key, finite
-from pulsegrid.session import shared_folder
+from pulsegrid.session import new_folder
 
 
 def signal_stream(spark: SparkSession, path: str, modality: str | None = None) -> DataFrame:
@@ -60,7 +58,7 @@ def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
     Micro-batches go to the shared folder with their number; a batch that is repeated after a failure overwrites itself.
     """
     spark = stream.sparkSession
-    folder = os.path.join(shared_folder(spark), f"pulsegrid-stream-{uuid.uuid4().hex}")
+    folder = new_folder(spark, "stream")
     schema = stream.schema
 
     def store(batch: DataFrame, number: int) -> None:

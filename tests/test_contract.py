@@ -3,6 +3,7 @@
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -17,6 +18,33 @@ def test_core_works_without_the_llm_subpackage():
             assert "pulsegrid.llm" not in p.read_text()
 
 
+@pytest.mark.parametrize("hidden", ["regex", "pulsegrid.llm.mixing"])
+def test_core_works_when_the_llm_subpackage_cannot_be_imported(hidden):
+    subprocess.run([sys.executable, "-W", "ignore", "-c", CODE.replace("pulsegrid.llm'", f"{hidden}'")], cwd=ROOT, check=True)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from pulsegrid.errors import ConfigurationError
+    from pulsegrid.session import shared_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://m:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ConfigurationError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    made = []
+    local = SimpleNamespace(conf=cluster.conf, sparkContext=SimpleNamespace(master="local[2]", setCheckpointDir=made.append, getCheckpointDir=lambda: made[-1] if made else None))
+    assert shared_folder(local) == shared_folder(local) and len(made) == 1
+
+
+def test_scratch_removes_what_was_written(spark):
+    import pulsegrid.session as S
+
+    with S.scratch(spark):
+        assert S.written(spark.range(3), "test").count() == 3
+        folder = S._folders[-1]
+        assert Path(folder.removeprefix("file:")).exists()
+    assert not Path(folder.removeprefix("file:")).exists()
+
+
 def test_entry(spark, data):
     import __spark_entry__ as e
 
