@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pulsegrid.operators.spikes import LIMIT, PEAK, PLAUSIBLE, excursions, flag_readings, judge_readings, run_lengths, tail_model
+from pulsegrid.operators.spikes import LIMIT, PLAUSIBLE, RISK, cutoff_report, excursions, flag_readings, judge_readings, plausible_readings, run_lengths, seasons, tail_model
 
 READ = "stream_id string, session int, channel string, pos bigint, value double, score string, block string, unit string"
 
@@ -73,16 +73,42 @@ def test_short_constant_and_empty_sources(spark):
     assert flag_readings(spark.createDataFrame([], READ)).count() == 0
 
 
-def test_candidates_have_a_cutoff_within_bounds(spark):
+def test_candidates_are_beyond_the_cutoff(spark):
     df = spark.createDataFrame(rows(series(3, 3000)), READ)
     out = flag_readings(df).where("spike").collect()
-    assert out and all(PEAK * r.unit <= r.cutoff <= LIMIT * r.unit + 1e-12 and r.score > r.cutoff for r in out)
+    assert out and all(0 < r.cutoff < r.score and r.rise > LIMIT * r.unit for r in out)
 
 
-def test_tail_fit_sets_a_cutoff_of_its_own(spark):
+def test_the_tail_fit_keeps_the_risk(spark):
     rng = np.random.default_rng(12)
-    m = tail_model(judge_readings(spark.createDataFrame([("s", 1, "AF7", i, float(v), "", "", "") for i, v in enumerate(rng.normal(0, 5, 6000))], READ))).first()
-    assert m.peaks >= 300 and PEAK * m.unit < m.cutoff < LIMIT * m.unit
+    x = rng.normal(0, 5, 20_000)
+    x[::400] += 600  # a few outliers must not move the cutoff
+    judged = judge_readings(spark.createDataFrame([("s", 1, "AF7", i, float(v), "", "", "") for i, v in enumerate(x)], READ))
+    m = tail_model(judged).first()
+    beyond = judged.where(f"score > {m.cutoff}").count()
+    assert 1800 < m.peaks <= 2000 and m.cutoff > m.u and beyond / 20_000 == pytest.approx(RISK, rel=0.25)
+
+
+def test_a_source_with_many_outliers_sets_a_high_cutoff(spark):
+    """The cutoff decides: where outliers are common, those near the ordinary ones are no candidates, spikes by the definition or not."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 6000)
+    x[5::9] += rng.choice([14.0, 60.0], len(x[5::9]))
+    df = spark.createDataFrame([("s", 1, "AF7", i, float(v), "", "", "") for i, v in enumerate(x)], READ)
+    r = cutoff_report(df).first()
+    assert r.cutoff > LIMIT and r.missed > 0 and r.spikes > 0 and r.candidates >= r.spikes
+    assert flag_readings(df).where("spike").count() == r.spikes
+
+
+def test_the_season_is_taken_off(spark):
+    rng = np.random.default_rng(7)
+    wave = 40 * np.sin(2 * np.pi * np.arange(900) / 16 + 1)
+    x = wave + rng.normal(0, 0.5, 900)
+    df = spark.createDataFrame([("s", 1, "BVP", i, float(v), "", "", "") for i, v in enumerate(x)], READ)
+    s = seasons(plausible_readings(df)).first()
+    assert s.period == 16 and np.hypot(s.c, s.s) == pytest.approx(40, abs=0.5)
+    tops = judge_readings(df).agg({"score": "max", "rise": "max"}).first()
+    assert tops["max(score)"] < 4 < tops["max(rise)"]
 
 
 def test_helpers():
