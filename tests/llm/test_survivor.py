@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from pulsegrid.llm.survivor import claims, copies, gap_groups, surviving_records, survivors, truth_model
+from pulsegrid.llm.survivor import claims, copies, gap_groups, precedence_records, surviving_records, survivors, truth_model
 
 LOG = "row_id bigint, log_key string, session int, marker string, category string, start_time double, end_time double, metadata string, origin string, recorded_at timestamp_ntz, trust string, group_id string, copies string"
 T0 = dt.datetime(2024, 1, 1)
@@ -81,3 +81,29 @@ def test_multi_valued_metadata_keeps_every_true_entry(spark, origins):
     assert kept == {"a:1", "b:q"}
     built = surviving_records(copies(spark.createDataFrame(rows, LOG), origins)).where("group_id = 0").first()
     assert built.metadata == "{'a': 1, 'b': 'q'}" and built.copies == 3
+
+
+def test_records_follow_the_model_not_the_trust(spark, origins):
+    """y is the most trusted origin and states end times of its own; the others agree with each other."""
+    rows = []
+    for g in range(60):
+        for n, o in enumerate(("x", "y", "z", "w")):
+            end = 100.0 * g + 12 + (0 if o != "y" or g % 6 == 0 else 1 + g % 5)
+            rows.append(row(4 * g + n, start=100.0 * g + 10, end=end, origin=o, metadata="{}" if o == "y" else "{'a': 1}", category=None))
+    c = copies(spark.createDataFrame(rows, LOG), origins)
+    _, quality = truth_model(claims(c))
+    assert quality["y"][0] < quality["x"][0]
+    by_model = {r.group_id: r for r in surviving_records(c).collect()}
+    by_trust = {r.group_id: r for r in precedence_records(c).collect()}
+    assert all(r.end_time == 25.0 * g + 12 and r.metadata == "{'a': 1}" and r.category is None for g, r in by_model.items())
+    assert sum(r.end_time != 25.0 * g + 12 for g, r in by_trust.items()) == 50
+
+
+def test_rounds_on_spark_equal_those_on_counts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    said = [(g, "f", "t" if rng.random() < q else "w", o, g * 10 + n) for g in range(80) for n, (o, q) in enumerate((("a", 0.9), ("b", 0.6), ("c", 0.8)))]
+    df = spark.createDataFrame(said, "group_id bigint, field string, fact string, origin string, row_id bigint")
+    _, one = truth_model(df, rounds=4)
+    monkeypatch.setattr("pulsegrid.llm.survivor.PATTERNS", 1)
+    _, other = truth_model(df, rounds=4)
+    assert all(one[o] == pytest.approx(other[o]) for o in "abc")
