@@ -14,13 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pulsegrid.errors import ValidationError
 from pulsegrid.functions.blocks import numbers, sorted_groups
 from pulsegrid.functions.ordered import with_halo
 from pulsegrid.operators.series import KEYS
 
 CHUNK, HALO = 4096, 1024
-#: Steps of an impulse response that a filter is applied with; slower filters run step by step.
+#: Steps that an impulse response may take; a slower filter needs a series of a lower rate.
 LONGEST = 16_384
+#: Readings of one segment of a spectrum.
+SEGMENT = 256
 #: Frequency bands of the EEG in Hz. Fixed values.
 BANDS = {
     "delta": (1, 4),
@@ -29,6 +32,8 @@ BANDS = {
     "low_beta": (12, 15),
     "high_beta": (15, 30),
 }
+#: Ratios of band powers. Fixed values.
+RATIOS = [("theta", "delta"), ("alpha", "delta"), ("low_beta", "delta"), ("alpha", "theta"), ("low_beta", "theta"), ("low_beta", "alpha")]
 #: Frequencies of the time-frequency power, evenly spaced in their logarithm from 1 to 35 Hz.
 MORLET_HZ = np.logspace(0, np.log10(35), 9)
 
@@ -114,6 +119,14 @@ def _run(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[:, lead : lead + x.shape[1]]
 
 
+def reach(sos: np.ndarray, rest: float = 1e-9) -> int:
+    """Steps after which no more than `rest` of a filter's response is left; raises if that takes more than LONGEST."""
+    h = _response(np.ascontiguousarray(sos).tobytes())
+    if h is None:
+        raise ValidationError(f"the response of the filter takes more than {LONGEST} steps: decimate the series first")
+    return int(np.flatnonzero(np.abs(h) > rest * np.abs(h).max())[-1]) + 1
+
+
 def forward_backward(sos: np.ndarray, series: list[np.ndarray], pad: int) -> list[np.ndarray]:
     """Zero-phase filtering of series of any lengths, each extended oddly by up to `pad` values at its ends."""
     out: list[np.ndarray] = [np.zeros(0)] * len(series)
@@ -136,6 +149,17 @@ def forward_backward(sos: np.ndarray, series: list[np.ndarray], pad: int) -> lis
     return [y[i, p[i] : p[i] + n[i]] for i in range(len(series))]
 
 
+def taps_for(low: float | None, high: float | None, rate: float, stop: bool = False) -> int:
+    """Taps of a Hamming-windowed filter as steep as its edges ask for: a pass band is left within a quarter of the edge,
+    at least 2 Hz but not beyond 0 or half the rate, a stop band within 1 Hz. Odd; 3.3 times the rate over that width."""
+    widths = [1.0] if stop else []
+    if low is not None and not stop:
+        widths.append(min(max(low / 4, 2.0), low))
+    if high is not None and not stop:
+        widths.append(min(max(high / 4, 2.0), rate / 2 - high))
+    return 2 * int(np.ceil(3.3 * rate / min(widths) / 2)) + 1
+
+
 def fir(low: float | None, high: float | None, rate: float, taps: int = 257, stop: bool = False) -> np.ndarray:
     """Symmetric windowed-sinc filter (Hamming) that passes low to high Hz, or stops them."""
     m = np.arange(taps) - taps // 2
@@ -170,25 +194,32 @@ def filter_series(rows: DataFrame, value: str, fn: Callable[[list[np.ndarray]],
     return sorted_groups(h, [*KEYS, "_b"], ["pos"], partial(_filter_chunks, fn=fn), "sid string, session int, channel string, pos bigint, value double")
 
 
-def low_pass(rows: DataFrame, value: str, cutoff: float, rate: float, order: int = 5, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+def _recursive(rows: DataFrame, value: str, sos: np.ndarray, pad: int, chunk: int, halo: int | None) -> DataFrame:
+    halo = reach(sos) + pad if halo is None else halo
+    return filter_series(rows, value, partial(forward_backward, sos, pad=pad), max(chunk, halo), halo)
+
+
+def low_pass(rows: DataFrame, value: str, cutoff: float, rate: float, order: int = 5, chunk: int = CHUNK, halo: int | None = None) -> DataFrame:
     """Zero-phase Butterworth low-pass. A cutoff that is not between 0 and half the rate leaves the series as it is."""
     if not 0 < cutoff < rate / 2:
         return rows.select(*KEYS, "pos", rows[value].alias("value"))
-    return filter_series(rows, value, partial(forward_backward, butterworth(order, None, cutoff, rate), pad=3 * (order + 1)), chunk, halo)
+    return _recursive(rows, value, butterworth(order, None, cutoff, rate), 3 * (order + 1), chunk, halo)
 
 
-def band_pass(rows: DataFrame, value: str, low: float, high: float, rate: float, order: int = 3, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+def band_pass(rows: DataFrame, value: str, low: float, high: float, rate: float, order: int = 3, chunk: int = CHUNK, halo: int | None = None) -> DataFrame:
     """Zero-phase Butterworth band-pass; a band that is not within 0 to half the rate leaves the series as it is."""
     if not 0 < low < high < rate / 2:
         return rows.select(*KEYS, "pos", rows[value].alias("value"))
-    return filter_series(rows, value, partial(forward_backward, butterworth(order, low, high, rate), pad=3 * (2 * order + 1)), chunk, halo)
+    return _recursive(rows, value, butterworth(order, low, high, rate), 3 * (2 * order + 1), chunk, halo)
 
 
-def fir_pass(rows: DataFrame, value: str, low: float | None, high: float | None, rate: float, stop: bool = False, taps: int = 257, chunk: int = CHUNK) -> DataFrame:
-    """Linear-phase band-pass, high-pass (high None), low-pass (low None) or notch (stop); edges beyond half the rate leave the series as it is."""
+def fir_pass(rows: DataFrame, value: str, low: float | None, high: float | None, rate: float, stop: bool = False, taps: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Linear-phase band-pass, high-pass (high None), low-pass (low None) or notch (stop); edges beyond half the rate leave
+    the series as it is. The taps follow from the edges, see taps_for."""
     if max(low or 0, high or 0) >= rate / 2:
         return rows.select(*KEYS, "pos", rows[value].alias("value"))
-    return filter_series(rows, value, partial(convolve, fir(low, high, rate, taps, stop)), chunk, taps)
+    taps = taps or taps_for(low, high, rate, stop)
+    return filter_series(rows, value, partial(convolve, fir(low, high, rate, taps, stop)), max(chunk, taps), taps // 2)
 
 
 def spaced_peaks(x: np.ndarray, distance: float = 1, height: float | None = None) -> np.ndarray:
@@ -251,28 +282,35 @@ def welch(x: np.ndarray, rate: float, y: np.ndarray | None = None, segment: int
     return np.fft.rfftfreq(n, 1 / rate), p.real if y is None else p
 
 
-def bands(x: np.ndarray, rate: float) -> dict[str, float | None]:
-    """Band powers by the trapezoid rule, their ratios, spectral entropy and summary of the power density."""
-    f, p = welch(x, rate)
+def bands(x: np.ndarray, rate: float, segment: int = SEGMENT) -> dict[str, float | None]:
+    """Band powers by the trapezoid rule, their ratios, spectral entropy and summary of the power density; nothing for
+    less than one segment, whose bins would be wider than the bands."""
+    if len(x) < segment:
+        return {}
+    f, p = welch(x, rate, segment=segment)
     out: dict[str, float | None] = {}
     for name, (a, z) in BANDS.items():
         k = (f >= a) & (f < z)
-        out[name] = float(np.trapezoid(p[k], f[k])) if k.sum() else 0.0
-    for a, z in combinations(("delta", "theta", "alpha", "low_beta"), 2):
-        out[f"{a}_{z}"] = out[a] / out[z] if out[z] else None
+        out[name] = float(np.trapezoid(p[k], f[k])) if k.sum() > 1 else None
+    for a, z in RATIOS:
+        out[f"{a}_{z}"] = out[a] / out[z] if out[a] is not None and out[z] else None
     q = p / p.sum() if p.sum() > 0 else p
     out["spectral_entropy"] = float(-(q[q > 0] * np.log2(q[q > 0])).sum())
     return out | {"psd_max": float(p.max()), "psd_mean": float(p.mean()), "psd_median": float(np.median(p))}
 
 
 def morlet(x: np.ndarray, rate: float) -> dict[str, float | None]:
-    """Mean power of an epoch at each of MORLET_HZ, by complex wavelets of max(3, f / 2) cycles."""
+    """Mean power of an epoch at each of MORLET_HZ, by complex wavelets of max(3, f / 2) cycles; None where the wavelet is
+    longer than the epoch, as the power would be that of its edges."""
     out = {}
     for i, f in enumerate(MORLET_HZ):
         sigma = max(3.0, f / 2) / (2 * np.pi * f)
         t = np.arange(-5 * sigma, 5 * sigma + 1 / rate, 1 / rate)
         w = np.exp(2j * np.pi * f * t - t * t / (2 * sigma * sigma))
         w /= np.sqrt(0.5) * np.linalg.norm(w)
+        if len(w) > len(x):
+            out[f"power_{i}"] = None
+            continue
         n = len(x) + len(w) - 1
         y = np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(w, n))[(len(w) - 1) // 2 :][: len(x)]
         out[f"power_{i}"] = float((np.abs(y) ** 2).mean())
@@ -307,7 +345,7 @@ def measure_epochs(epochs: DataFrame, fn: Callable[[np.ndarray, float], dict], n
 
 
 PULSE = ["rate", "variability", "bounded_rate", "filtered_variability", "robust_variability"]
-SPECTRUM = [*BANDS, *[f"{a}_{z}" for a, z in combinations(("delta", "theta", "alpha", "low_beta"), 2)], "spectral_entropy", "psd_max", "psd_mean", "psd_median"]
+SPECTRUM = [*BANDS, *[f"{a}_{z}" for a, z in RATIOS], "spectral_entropy", "psd_max", "psd_mean", "psd_median"]
 WAVELETS = [f"power_{i}" for i in range(len(MORLET_HZ))]
 
 
@@ -332,8 +370,8 @@ def _coherence(t: pa.Table, starts: np.ndarray, rate: float, segment: int) -> pa
         for one, other in combinations(found, 2):
             (p, v), (q, w) = found[one], found[other]
             _, i, j = np.intersect1d(p, q, return_indices=True)
-            if len(i) >= 8:
-                n = min(segment, len(i))
+            n = min(segment, len(i))
+            if n >= 8 and len(i) >= n + n - n // 2:  # of one segment the coherence is 1 whatever it holds
                 pxy, pxx, pyy = welch(v[i], rate, w[j], n)[1], welch(v[i], rate, None, n)[1], welch(w[j], rate, None, n)[1]
                 den = pxx * pyy
                 c = np.abs(pxy) ** 2 / np.where(den > 0, den, 1)
@@ -344,7 +382,8 @@ def _coherence(t: pa.Table, starts: np.ndarray, rate: float, segment: int) -> pa
 
 
 def coherence(epochs: DataFrame, rate: float, segment: int = 256) -> DataFrame:
-    """Mean magnitude-squared coherence of every two channels of a stream by epoch, over the instants both have."""
+    """Mean magnitude-squared coherence of every two channels of a stream by epoch, over the instants both have; no row
+    for an epoch of fewer than two segments."""
     rows = epochs.select("sid", "session", "epoch", "channel", "pos", "value")
     return sorted_groups(rows, ["sid", "session", "epoch"], ["channel", "pos"], partial(_coherence, rate=rate, segment=segment), "sid string, session int, epoch bigint, one string, other string, coherence double")
 

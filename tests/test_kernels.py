@@ -67,6 +67,33 @@ def test_notch_takes_out_its_frequency():
     assert np.abs(y - np.sin(2 * np.pi * 10 * t))[600:-600].max() < 0.05
 
 
+@pytest.mark.parametrize("low, high", [(1.0, None), (1.0, 50.0)])
+def test_taps_are_enough_for_the_edges(low, high):
+    h = K.fir(low, high, 256.0, K.taps_for(low, high, 256.0))
+    m = np.arange(len(h)) - len(h) // 2
+    gain = lambda f: abs((h * np.cos(2 * np.pi * f / 256 * m)).sum())
+    assert len(h) == 847 and gain(0) < 0.01 and gain(0.4) < 0.05 and gain(1.6) > 0.95 and gain(30) == pytest.approx(1, abs=0.01)
+
+
+def test_a_filter_too_slow_for_chunks_is_refused(spark):
+    from pulsegrid.errors import ValidationError
+
+    assert K.reach(K.butterworth(5, None, 0.5, 32.0)) < K.CHUNK
+    with pytest.raises(ValidationError, match="decimate"):
+        K.low_pass(frame(spark, [1.0, 2.0]), "value", 0.0005, 32.0)
+
+
+def test_ratios_are_those_of_the_bands():
+    b = K.bands(np.random.default_rng(2).normal(size=1280), 256.0)
+    assert b["theta_delta"] == b["theta"] / b["delta"] and b["low_beta_alpha"] == b["low_beta"] / b["alpha"] and b["delta"] > 0
+    assert K.bands(np.ones(255), 256.0) == {}
+
+
+def test_wavelets_longer_than_the_epoch_give_nothing():
+    w = K.morlet(np.random.default_rng(2).normal(size=512), 256.0)
+    assert w["power_0"] is None and w["power_8"] > 0
+
+
 def test_spaced_peaks():
     x = np.array([0, 1, 0, 3, 3, 3, 0, 2, 0, 1.0])
     assert K.spaced_peaks(x).tolist() == [1, 4, 7]

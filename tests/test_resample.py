@@ -38,4 +38,4 @@ def test_queries_keep_the_tails_of_series(spark, data):
     got = {(r.sid, r.session, r.channel): r.n for r in Q.resampled(spark, data).groupBy(*S.KEYS).agg(F.count("*").alias("n")).collect()}
     assert set(got) == set(n)
     last = {(r.sid, r.session, r.channel): r.e for r in Q.band_powers(spark, data).groupBy(*S.KEYS).agg(F.max("epoch").alias("e")).collect()}
-    assert last == {k: (v - 1) // 128 for k, v in n.items()}
+    assert last == {k: (v - 1) // Q.EEG_EPOCH for k, v in n.items()}
