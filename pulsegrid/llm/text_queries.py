@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.encode import decode_ids, encode_texts
-from pulsegrid.llm.mixing import mix, reached
+from pulsegrid.llm.mixing import fit_classifier, mix, reached
 from pulsegrid.llm.text_quality import text_statistics, without_prose
 from pulsegrid.session import table
 
+#: How far a source's share may be from its target.
+SHARE_OFF = 0.005
+
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
@@ -28,8 +31,24 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares of the sources wanted and reached."""
-    return reached(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+    """Shares of the sources wanted and reached, by source and by posterior."""
+    targets = table(spark, folder, "mix_targets")
+    return reached(mix(table(spark, folder, "documents"), targets, with_memberships=True), targets)
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source's share is within SHARE_OFF of its target, and no document is used more often than allowed."""
+    cap = table(spark, folder, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    s = p9_shares(spark, folder).join(F.broadcast(cap), "source")  # one row per target source
+    return s.select("source", (F.abs(F.col("share") - F.col("target_share")) <= SHARE_OFF).alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"))
+
+
+def p9_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """How many labelled documents were held out from the classifier, per source, and how many of them it tells right."""
+    names = sorted(r[0] for r in table(spark, folder, "mix_targets").select(F.lower(F.trim("source"))).distinct().collect())  # a short table
+    m = fit_classifier(table(spark, folder, "documents"), names)
+    rows = list(zip(names, m.held_out, m.right)) if m else []
+    return spark.createDataFrame(rows, "source string, held_out bigint, right bigint")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,9 +75,10 @@ def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
+QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept, "p9_classifier": p9_classifier, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
 
 SQL = {
+    "p9_kept": "select lower(trim(source)) as source, true as share_kept, true as cap_kept from mix_targets",
     "p8_round_trip": "select doc_id, length(coalesce(text, '')) as n_chars, md5(coalesce(text, '')) as digest from documents",
     "p10_counts": r"""
 with t as (select doc_id, coalesce(text, '') as t from documents),
