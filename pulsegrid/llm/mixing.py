@@ -25,8 +25,8 @@ HELD_OUT = 5
 DIM = 128
 #: How far a label is believed: the odds that it gives its source over all others together.
 LABEL_TRUST = 0.95
-#: Rounds for both kinds of totals, then for those by source alone.
-ROUNDS, LAST_ROUNDS, TOLERANCE = 8, 12, 1e-6
+#: Rounds of the least squares at most.
+ROUNDS = 12
 #: Bins in which a source's documents are ordered when rates become whole numbers of copies.
 BINS = 4096
 
@@ -122,22 +122,33 @@ def memberships(docs: DataFrame, names: list[str], model: Classifier | None, tok
     return sized.withColumn("p", p).drop("told")
 
 
-def _rates(b: pa.RecordBatch, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Memberships, limits and rates of a batch of documents after some moves: half the limit at first, then less the move
-    along the memberships, kept within 0 and the limit."""
-    m, cap = b["m"].values.to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1)), b["cap"].to_numpy()
-    x = cap * 0.5
-    for move in moves:
-        x = np.clip(x - m @ move, 0.0, cap)
-    return m, cap, x
+class Moves(NamedTuple):
+    """What has been done to the rates: moves along the memberships, then for each source the factor of its rates, and the
+    share of what is left up to the limit that is added."""
 
+    along: list[np.ndarray]
+    factor: np.ndarray
+    raised: np.ndarray
 
-def _totals(batches: Iterator[pa.RecordBatch], moves: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
-    """Totals of a task's documents by membership, then the products of memberships of those whose rate can still move."""
-    got, gram, room = np.zeros(size), np.zeros((size, size)), np.zeros(size)
+    def rates(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Memberships, limits and rates of a batch of documents: half the limit at first, and always within 0 and it."""
+        m = b["m"].values.to_numpy().reshape(b.num_rows, -1)
+        cap = b["cap"].to_numpy()
+        x = cap * 0.5
+        for move in self.along:
+            x = np.clip(x - m @ move, 0.0, cap)
+        own = m[:, : len(self.factor)]
+        return m, cap, x * (own @ self.factor) + (cap - x) * (own @ self.raised)
+
+
+def _totals(batches: Iterator[pa.RecordBatch], moves: Moves) -> Iterator[pa.RecordBatch]:
+    """Totals of a task's documents by membership, those at the limit, and the products of memberships of those whose rate
+    can still move."""
+    size = 2 * len(moves.factor)
+    got, room, gram = np.zeros(size), np.zeros(size), np.zeros((size, size))
     for b in batches:
         if b.num_rows:
-            m, cap, x = _rates(b, moves)
+            m, cap, x = moves.rates(b)
             n = b["tokens"].to_numpy().astype(float)
             got += (n * x) @ m
             room += (n * cap) @ m
@@ -146,50 +157,58 @@ def _totals(batches: Iterator[pa.RecordBatch], moves: list[np.ndarray], size: in
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "x"])
 
 
-def _rated(batches: Iterator[pa.RecordBatch], moves: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _rated(batches: Iterator[pa.RecordBatch], moves: Moves, names: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(_rates(b, moves)[2])], [*names, "rate"])
+        rates = moves.rates(b)[2] if b.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(rates)], [*names, "rate"])
 
 
-def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS, last_rounds: int = LAST_ROUNDS) -> tuple[DataFrame, float]:
-    """Adds `rate` in [0, cap]: rates whose totals by source and whose expected totals by membership both have the target
-    shares of the largest total that is possible by source.
+def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """Adds `rate` in [0, cap]: rates whose totals by source, and as nearly as the limits allow their expected totals by
+    membership too, have the target shares of the largest total that is possible by source.
 
-    Least squares by projected gradient. A round is one aggregation over all documents: each task sums up its totals and,
-    over the documents whose rate can still move, the products of memberships, with which the driver scales the move (a
-    system of two equations a source). The last rounds are for the totals by source alone, which must hold. A rate is
-    worked out anew from the moves so far, some 20 at most with a few products each. members: m, first the source as 0
-    and 1, then the posteriors; cap; tokens.
+    Least squares on both kinds of totals by projected gradient. A round is one aggregation over all documents: each task
+    sums up its totals and, over the documents whose rate can still move, the products of memberships, with which the
+    driver scales the move (a system of two equations a source). Rounds end when the squares sum no longer shrinks by a
+    hundredth. Where the limits keep the two kinds from holding together, the totals by source come first: at last the
+    rates of a source are lowered by one factor, or raised by one share of what is left, to its total. A rate is worked
+    out anew from the moves so far, ROUNDS of a few products each. members: m, first the source as 0 and 1, then the
+    posteriors; cap; tokens.
     """
     k = len(shares)
     slim = members.select("m", "cap", "tokens")
+    along: list[np.ndarray] = []
+    plain = Moves(along, np.ones(k), np.zeros(k))
 
-    def totals(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = slim.mapInArrow(partial(_totals, moves=moves, size=2 * k), "at int, x double").groupBy("at").agg(F.sum("x")).collect()
+    def totals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = np.zeros(4 * k + 4 * k * k)
-        for at, x in rows:
+        for at, x in slim.mapInArrow(partial(_totals, moves=plain), "at int, x double").groupBy("at").agg(F.sum("x")).collect():
             flat[at] = x
         return flat[: 2 * k], flat[2 * k : 4 * k], flat[4 * k :].reshape(2 * k, 2 * k)
 
-    moves: list[np.ndarray] = []
-    got, room, gram = totals(moves)
+    got, room, gram = totals()
     total = min((r / s for r, s in zip(room, shares) if s > 0), default=0.0)
     if total <= 0:
         return members.withColumn("rate", F.lit(0.0)), 0.0
     goal = total * np.array(shares * 2)
-    for used in [slice(0, 2 * k)] * rounds + [slice(0, k)] * last_rounds:
+    for _ in range(rounds):
         off = got - goal
-        if np.abs(off[used]).max() <= TOLERANCE * total:
-            if used.stop == k:
-                break
-            continue
-        g, move = gram[used, used], np.zeros(2 * k)
-        ridge = 1e-3 * np.trace(g) / len(g) if used.stop > k else 0.0
-        move[used] = np.linalg.lstsq(g + ridge * np.eye(len(g)), off[used], rcond=1e-10)[0]
-        bound = np.flatnonzero((np.diag(gram) <= 0) & (np.arange(2 * k) < used.stop))  # all its documents are at a limit: move them by its size
+        ridge = 1e-3 * max(np.trace(gram), 1e-9) / (2 * k)
+        move = np.linalg.solve(gram + ridge * np.eye(2 * k), off)
+        bound = np.diag(gram) <= 0  # all its documents are at a limit: move them by its size
         move[bound] = off[bound] / np.maximum(room[bound], 1.0)
-        moves.append(move)
-        got, _, gram = totals(moves)
+        along.append(move)
+        before, (got, _, gram) = got, totals()
+        if ((got - goal) ** 2).sum() > 0.99 * (off**2).sum():
+            if ((got - goal) ** 2).sum() > (off**2).sum():
+                along.pop()
+                got = before
+            break
+    own, want = got[:k], goal[:k]
+    less = own > want
+    factor = np.where(less, want / np.where(own > 0, own, 1.0), 1.0)
+    raised = np.where(less, 0.0, (want - own) / np.maximum(room[:k] - own, 1e-9))
+    moves = Moves(along, factor, np.clip(raised, 0.0, 1.0))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema) + ", rate double"
     return members.mapInArrow(partial(_rated, moves=moves, names=members.columns), schema), total
 

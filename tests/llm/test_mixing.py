@@ -75,7 +75,7 @@ def test_rates_meet_both_kinds_of_totals(spark):
     assert [got[i] / total for i in range(3)] == pytest.approx(shares, abs=1e-4)
     only, _ = fit_rates(members, shares, rounds=0)
     apart = only.selectExpr(*[f"sum(tokens * rate * m[{i}]) as s{i}" for i in range(3, 6)]).first()
-    assert sum(abs(got[i + 3] / total - s) for i, s in enumerate(shares)) < sum(abs(x / total - s) for x, s in zip(apart, shares))
+    assert sum(abs(got[i + 3] / total - s) for i, s in enumerate(shares)) < 0.7 * sum(abs(x / total - s) for x, s in zip(apart, shares))
 
 
 def test_more_rows_asked_for_than_there_are(spark):
