@@ -14,12 +14,17 @@ from pulsegrid.session import table
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values filled from other rows of the same stream."""
-    return fills(hot_deck_fill(table(spark, folder, "feature_rows")))
+    return fills(hot_deck_fill(table(spark, folder, "feature_rows"))).drop("donor")
+
+
+def p3_donors(spark: SparkSession, folder: str) -> DataFrame:
+    """The filled values of session and user_id with the row that gave each."""
+    return fills(hot_deck_fill(table(spark, folder, "feature_rows"))).where(F.col("field") != "epoch")
 
 
 def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every feature row with its fields as far as known, fills marked."""
-    return hot_deck_fill(table(spark, folder, "feature_rows")).drop("session_donor", "epoch_donor")
+    return hot_deck_fill(table(spark, folder, "feature_rows")).drop("session_donor", "epoch_donor", "user_donor")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +56,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnsRenamed({"start": "start_ms", "end": "end_ms"})
 
 
-QUERIES = {"p3_found": p3_found, "p3_rows": p3_rows, "p4_found": p4_found, "p4_by_month": p4_by_month, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_rows": p3_rows, "p3_donors": p3_donors, "p4_found": p4_found, "p4_by_month": p4_by_month, "p5_found": p5_found}
 
 _FILL = """
 with r as (select feature_id, lower(trim(stream_id)) as sid, case when session >= 1 then session end as s0, case when epoch >= 0 then epoch end as e0,
@@ -76,6 +81,12 @@ SQL = {
     "p3_found": _FILL
     + """select feature_id, 'session' as field, cast(s as varchar) as filled from f where sf
 union all select feature_id, 'epoch', cast(e1 as varchar) from f where e1 is not null union all select feature_id, 'user_id', cast(u1 as varchar) from f where u1 is not null""",
+    "p3_donors": _FILL.rstrip()
+    + """,
+giver as (select a.feature_id, arg_min(b.feature_id, (abs(a.t - b.t), b.t, b.s0, b.feature_id)) as g from r a join r b on a.sid = b.sid and b.s0 is not null and b.t between a.t - 60000000 and a.t + 60000000 where a.s0 is null group by all),
+voter as (select sid, s, u0, min(feature_id) as g from s where s is not null and u0 is not null group by all)
+select feature_id, 'session' as field, cast(s as varchar) as filled, g as donor from f join giver using (feature_id) where sf
+union all select f.feature_id, 'user_id', cast(f.u1 as varchar), g from f join s using (feature_id) join voter on voter.sid = s.sid and voter.s = s.s and voter.u0 = f.u1 where f.u1 is not null""",
     "p3_rows": _FILL + "select feature_id, s as session, coalesce(e0, e1) as epoch, coalesce(u0, u1) as user_id, sf as session_filled, e1 is not null as epoch_filled, u1 is not null as user_filled from f",
     "p4_found": _ORPHANS + "select tbl, row_id, field, reason from j where reason is not null",
     "p4_by_month": _ORPHANS + "select tbl, field, reason, strftime(ts, '%Y-%m') as month, count(*) as refs from j where reason is not null group by all",

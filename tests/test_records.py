@@ -35,6 +35,15 @@ def test_reach_is_closed_and_the_nearer_donor_wins(spark):
     assert {x for x in filled(spark, rows) if x[1] == "session"} == {(2, "session", "1"), (6, "session", "1"), (7, "session", "2"), (8, "session", "1")}
 
 
+def test_one_wrong_donor_does_not_decide_the_epoch(spark):
+    """The nearest donor says another epoch than the three others around it together."""
+    t0 = dt.datetime(2024, 1, 1)
+    times = [(1, 0.0, 0), (2, 5.0, 1), (3, 10.0, 7), (4, 15.0, 3), (5, 20.0, 4), (9, 11.5, None)]
+    df = spark.createDataFrame([(i, "s", 1, e, 5, t0 + dt.timedelta(seconds=x)) for i, x, e in times], "feature_id bigint, stream_id string, session int, epoch bigint, user_id bigint, ts timestamp_ntz")
+    r = {r.feature_id: r for r in hot_deck_fill(df).collect()}[9]
+    assert (r.epoch, r.epoch_filled, r.epoch_donor) == (2, True, 4)
+
+
 def test_no_majority_no_fill(spark):
     rows = [feat(1, "a", 1, 0, 1, 0), feat(2, "a", 1, 1, 2, 5), feat(3, "a", 1, 2, None, 10)]
     assert filled(spark, rows) == set()
