@@ -12,9 +12,9 @@ EPOCH_US = 5_000_000
 REACH_US = 60_000_000
 
 
-def nearest_donors(rows: DataFrame, by: list[str], t: str, donor: Column, carried: list[str], reach: int) -> DataFrame:
-    """Adds `before` and `after`: structs (t, *carried, beyond) of the nearest donors at or before, and at or after, each
-    row; `beyond` is a struct (t, *carried) of the donor behind that one in its block, if there is one.
+def nearest_donors(rows: DataFrame, by: list[str], t: str, donor: Column, carried: list[str], reach: int, deep: bool = False) -> DataFrame:
+    """Adds `before` and `after`: structs (t, *carried) of the nearest donors at or before, and at or after, each row; with
+    `deep` they have a field `beyond` too, a struct (t, *carried) of the donor behind that one in its block, if there is one.
 
     Records are blocked by `by` and time buckets as wide as `reach`. A donor within reach lies in the row's own
     bucket or is the last of the bucket before or the first of the bucket after, so windows stay inside a bucket
@@ -35,13 +35,17 @@ def nearest_donors(rows: DataFrame, by: list[str], t: str, donor: Column, carrie
     ends = d.where(F.col("_d").isNotNull()).groupBy(*keys).agg(last, first)
     prev = ends.select(*by, (F.col("_b") + 1).alias("_b"), F.col("_last").alias("_prev"))
     following = ends.select(*by, (F.col("_b") - 1).alias("_b"), F.col("_first").alias("_next"))
-    first_to_last = (Window.unboundedPreceding, -1)
-    inside = d
+    inside, alone = d, F.col
     for name, w in (("_in_before", up), ("_in_after", down)):
-        inside = inside.withColumn("_behind", F.last("_d", ignorenulls=True).over(w.rowsBetween(*first_to_last)))
-        inside = inside.withColumn(name, F.last(F.when(F.col("_d").isNotNull(), F.struct("_d.*", F.col("_behind").alias("beyond"))), ignorenulls=True).over(w)).drop("_behind")
+        given = F.col("_d")
+        if deep:
+            inside = inside.withColumn("_behind", F.last("_d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+            given = F.when(given.isNotNull(), F.struct("_d.*", F.col("_behind").alias("beyond")))
+        inside = inside.withColumn(name, F.last(given, ignorenulls=True).over(w)).drop("_behind")
+    if deep:
+        none = F.lit(None).cast(d.schema["_d"].dataType).alias("beyond")
+        alone = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.*", none))
     out = inside.join(prev, keys, "left").join(following, keys, "left")
-    alone = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.*", F.lit(None).cast(d.schema["_d"].dataType).alias("beyond")))
     return out.withColumn("before", F.coalesce("_in_before", alone("_prev"))).withColumn("after", F.coalesce("_in_after", alone("_next"))).drop("_b", "_d", "_in_before", "_in_after", "_prev", "_next")
 
 
@@ -86,21 +90,22 @@ def hot_deck_fill(features: DataFrame, reach_us: int = REACH_US, epoch_us: int =
     users = votes.groupBy(*group).agg(F.sum("n").alias("all"), F.max(F.struct("n", "user0", "giver")).alias("top")).where(F.col("top.n") * 2 > F.col("all")).select(*group, F.col("top.user0").alias("user1"), F.col("top.giver").alias("giver"))
     far = s.where(F.col("session").isNotNull() & F.col("epoch0").isNotNull() & F.col("t").isNotNull()).groupBy(*group).agg(F.min(F.struct("t", "epoch0", "feature_id")).alias("far"))
 
-    near = nearest_donors(s, group, "t", F.col("epoch0").isNotNull() & F.col("session").isNotNull(), ["epoch0", "feature_id"], reach_us)
+    near = nearest_donors(s, group, "t", F.col("epoch0").isNotNull() & F.col("session").isNotNull(), ["epoch0", "feature_id"], reach_us, deep=True)
 
     def vote(d: str) -> Column:
         away = (F.col("t") - F.col(f"{d}.t")) / 1e6
         says = F.col(f"{d}.epoch0") + F.round(away * 1e6 / epoch_us).cast("bigint")
         return F.when(F.col(f"{d}.t").isNotNull(), F.struct(says.alias("says"), (1 / (1 + F.abs(away))).alias("weight"), F.col(f"{d}.feature_id").alias("donor")))
 
-    near = near.join(far, group, "left").withColumn("votes", F.array_sort(F.array_compact(F.array(*map(vote, ("before", "after", "before.beyond", "after.beyond", "far"))))))
+    asks = F.col("epoch0").isNull() & F.col("t").isNotNull() & F.col("session").isNotNull()
+    near = near.join(far, group, "left").withColumn("votes", F.when(asks, F.array_sort(F.array_compact(F.array(*map(vote, ("before", "after", "before.beyond", "after.beyond", "far")))))))
     half = F.aggregate("votes", F.lit(0.0), lambda x, v: x + v["weight"]) / 2
     heard = lambda says: F.aggregate("votes", F.lit(0.0), lambda x, v: x + F.when(v["says"] <= says, v["weight"]).otherwise(0.0))
     near = near.withColumn("nearest", F.get(F.filter("votes", lambda v: heard(v["says"]) >= half), F.lit(0))["says"])
     donor = F.array_max(F.transform(F.filter("votes", lambda v: v["says"] == F.col("nearest")), lambda v: F.struct(v["weight"], -v["donor"])))["col2"] * -1
     nearest = F.col("nearest")
     full = near.join(users, group, "left")
-    e1 = F.when(F.col("epoch0").isNull() & F.col("t").isNotNull() & F.col("session").isNotNull() & (nearest >= 0), nearest)
+    e1 = F.when(nearest >= 0, nearest)
     return full.select(
         "feature_id", "session", F.coalesce("epoch0", e1).alias("epoch"), F.coalesce("user0", "user1").alias("user_id"),
         (F.col("session0").isNull() & F.col("session").isNotNull()).alias("session_filled"), e1.isNotNull().alias("epoch_filled"), (F.col("user0").isNull() & F.col("user1").isNotNull()).alias("user_filled"),
