@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import stable
-from pulsegrid.operators.grid_fill import empty_slots, grid_fill
+from pulsegrid.operators.grid_fill import empty_slots, grid_fill, held_out
 from pulsegrid.operators.spikes import PERIODS, cutoff_report, flag_readings
 from pulsegrid.session import table
 
@@ -31,6 +31,11 @@ def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return g.groupBy("stream_id", "session", "channel").agg(F.count("*").alias("slots"), F.count_if(F.col("status") == "observed").alias("observed"), F.count_if(F.col("status") != "observed").alias("empty"))
 
 
+def p1_error(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the factorisation fills cells that were read but hidden from it, per channel."""
+    return held_out(table(spark, folder, "signal_long"), table(spark, folder, "recordings"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Impossible readings, stuck stretches and spikes of GSR, TEMP, BVP and AF7."""
     f = flag_readings(table(spark, folder, "signal_long"))
@@ -49,7 +54,7 @@ def p2_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     return r.withColumn("cutoff", stable(F.col("cutoff"), 4))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_flags": p2_flags, "p2_cutoffs": p2_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_coverage": p1_coverage, "p1_error": p1_error, "p2_found": p2_found, "p2_flags": p2_flags, "p2_cutoffs": p2_cutoffs}
 
 _GRID = """
 with recs as (

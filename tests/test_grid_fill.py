@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 
-from pulsegrid.operators.grid_fill import als_fill, empty_slots, grid_fill
+from pulsegrid.operators.grid_fill import LAGS, als_fill, empty_slots, grid_fill, held_out
 
 T0 = dt.datetime(2024, 1, 1)
 READ = "stream_id string, session int, modality string, pos bigint, ts timestamp_ntz, channel string, value double, session_note string, slot string"
@@ -57,7 +57,30 @@ def test_cells_are_observed_filled_or_marked(spark):
     assert len(got) == 60
     assert got["X", 3] == (3.0, "observed")
     assert got["Y", 5][1] == "filled" and abs(got["Y", 5][0] - 5) < 2
-    assert all(got[c, 9] == (None, "unsupported") for c in "XYZ")
+    assert all(got[c, 9][1] == "filled" and abs(got[c, 9][0] - 9) < 3 for c in "XYZ")  # a pause of all channels, from the slots around it
+
+
+def test_the_middle_of_a_long_pause_stays_marked(spark):
+    rows = [reading(k, k * 100 + 7, c, float(k % 5)) for k in range(60) for c in "XYZ" if not 20 <= k < 40]
+    got = cells(grid_fill(spark.createDataFrame(rows, READ), spark.createDataFrame([rec(60)], REC)))
+    for k in range(60):
+        want = "observed" if not 20 <= k < 40 else "filled" if k < 20 + LAGS or k >= 40 - LAGS else "unsupported"
+        assert {got[c, k][1] for c in "XYZ"} == {want}, k
+
+
+def test_hidden_cells_are_judged(spark):
+    base = np.sin(np.arange(600) / 5)
+    rows = [reading(k, k * 100, c, float(g * base[k])) for k in range(600) for c, g in (("X", 1.0), ("Y", 2.0), ("Z", -1.0))]
+    out = held_out(spark.createDataFrame(rows, READ), spark.createDataFrame([rec(600)], REC), hidden=100).collect()
+    assert {r.channel for r in out} == set("XYZ") and all(30 < r.cells == r.filled and r.error < 0.2 * r.plain for r in out)
+
+
+def test_one_huge_reading_does_not_bend_the_rest(spark):
+    base = np.sin(np.arange(300) / 5)
+    rows = [reading(k, k * 100, c, 1e9 if (k, c) == (50, "X") else float(base[k])) for k in range(300) for c in "XYZ" if k % 7 or c != "X"]
+    got = cells(grid_fill(spark.createDataFrame(rows, READ), spark.createDataFrame([rec(300)], REC)))
+    assert got["X", 50] == (1e9, "observed")
+    assert np.mean([abs(got["X", k][0] - base[k]) for k in range(0, 300, 7) if abs(k - 50) > 8]) < 0.15
 
 
 def test_spelling_of_ids_and_repeated_recordings(spark):
