@@ -25,11 +25,17 @@ SENTENCE_SIGNS = ".,;:!?。、，；：！？"
 STOPS = ".!?:。！？："
 INNER_SIGNS = "()[]'\"’‘“”„«»（）【】「」-‐‑%°§&/µ²³"
 BULLET_SIGNS = "•·*–—▪◦‣"
+LANGUAGES = [*FUNCTION_WORDS, "ja", "zh"]
 CATEGORIES = ["function", "content", "kana", "han", "digit", "sentence", "inner", "bullet", "mark", "junk"]
 BLANK, NEWLINE, LETTER, KANA, HAN, HAN_FUNCTION, DIGIT, SENTENCE, INNER, BULLET, MARK, JUNK, TAB = range(13)
-#: Shares of the categories among the non-blank characters of a segment, by structural profile.
+#: Shares of the categories among the non-blank characters of a segment, by structural profile. "function" are words of the
+#: segment's own language. Prose of each language has the median share of function words that its documents in the test
+#: data have (1,717 English, 136 German, 99 French, 110 Spanish ones with prose).
 PROFILES = {
-    "prose": [0.22, 0.70, 0.0, 0.0, 0.02, 0.03, 0.02, 0.0, 0.01, 0.0],
+    "prose_en": [0.20, 0.72, 0.0, 0.0, 0.02, 0.03, 0.02, 0.0, 0.01, 0.0],
+    "prose_de": [0.23, 0.69, 0.0, 0.0, 0.02, 0.03, 0.02, 0.0, 0.01, 0.0],
+    "prose_fr": [0.21, 0.70, 0.0, 0.0, 0.03, 0.03, 0.02, 0.0, 0.01, 0.0],
+    "prose_es": [0.21, 0.69, 0.0, 0.0, 0.04, 0.03, 0.02, 0.0, 0.01, 0.0],
     "prose_wordy": [0.40, 0.53, 0.0, 0.0, 0.02, 0.03, 0.02, 0.0, 0.0, 0.0],
     "prose_numeric": [0.20, 0.58, 0.0, 0.0, 0.13, 0.05, 0.04, 0.0, 0.0, 0.0],
     "prose_ja": [0.0, 0.02, 0.50, 0.35, 0.05, 0.06, 0.02, 0.0, 0.0, 0.0],
@@ -63,8 +69,9 @@ SLAB = 1 << 20
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class and lower case of each code point of the basic plane, weights of the word hash, hashes of function words."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class and lower case of each code point of the basic plane, weights of the word hash, hashes of function words and the
+    languages that have them, as bits."""
     kind = np.full(0x10000, JUNK, np.uint8)
     low = np.arange(0x10000, dtype=np.uint16)
     for c in range(0x10000):
@@ -88,7 +95,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
     words = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
     hashes = np.array([(np.array([ord(c) for c in w], np.uint64) * power[: len(w)]).sum() for w in words], np.uint64)
-    return kind, low, power, np.sort(hashes)
+    bits = np.array([sum(1 << i for i, ws in enumerate(FUNCTION_WORDS.values()) if w in ws.split()) for w in words], np.uint8)
+    return kind, low, power, np.sort(hashes), bits[np.argsort(hashes)]
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -109,7 +117,7 @@ def nearest_profile(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def describe(texts: list[str]) -> dict[str, np.ndarray]:
     """Statistics of each text, worked out for all of them at once."""
-    kind_of, lower, power, known = _tables()
+    kind_of, lower, power, known, spoken = _tables()
     n_docs = len(texts)
     cp = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(t) + 1 for t in texts])
@@ -144,7 +152,7 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     ends = np.flatnonzero(letter & ~np.append(letter[1:], False)) + 1
     size = ends - starts
     short = size <= 14
-    function = np.zeros(len(starts), bool)
+    tongues = np.zeros(len(starts), np.uint8)  # languages of which a word is a function word
     if short.any():
         s, k = starts[short], size[short]
         h = np.zeros(len(s), np.uint64)
@@ -152,8 +160,10 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
             more = k > j
             h[more] += lower[c16[s[more] + j]].astype(np.uint64) * power[j]
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        function[short] = known[at] == h
-    function_chars = np.bincount(seg[starts], size * function, n_seg)
+        tongues[short] = np.where(known[at] == h, spoken[at], 0)
+    by_tongue = [np.bincount(seg[starts], size * (tongues >> i & 1), n_seg) for i in range(len(FUNCTION_WORDS))]
+    function_chars = np.max(by_tongue, axis=0)  # a segment is in the language that most of its function words are of
+    function = tongues > 0
 
     counts = np.bincount(seg[solid] * 13 + kind[solid], minlength=n_seg * 13).reshape(n_seg, 13).astype(float)
     total = counts.sum(axis=1)
@@ -221,15 +231,18 @@ def describe(texts: list[str]) -> dict[str, np.ndarray]:
     stopped = np.bincount(line_doc[inked_line], (kind[last] == SENTENCE)[inked_line], n_docs)
     shares_doc = np.stack([np.bincount(seg_doc, shares[:, i] * total, n_docs) for i in range(len(CATEGORIES))], axis=1) / np.maximum(chars, 1)[:, None]
     doc_near, divergence = nearest_profile(shares_doc)
+    heard = np.stack([*[np.bincount(seg_doc, x, n_docs) for x in by_tongue], np.bincount(seg_doc, counts[:, KANA], n_docs), np.bincount(seg_doc, counts[:, HAN_FUNCTION], n_docs)])
+    heard[-1] *= heard[-2] < heard[-1]  # Japanese has Chinese signs too
+    language = np.where(heard.max(axis=0) > 0, heard.argmax(axis=0), len(heard))
     some = np.maximum(chars, 1)
     return {
         "chars": chars, "words": words, "word_length": np.bincount(doc[starts], size, n_docs) / np.maximum(words, 1), "symbol_ratio": np.bincount(doc[signs], minlength=n_docs) / some,
         "lines": lines, "line_end_share": stopped / np.maximum(lines, 1), "common_word_share": common / np.maximum(words, 1),
-        **{f"{s}_share": v / some for s, v in per.items()}, "profile": np.array(list(PROFILES))[doc_near], "divergence": divergence,
+        **{f"{s}_share": v / some for s, v in per.items()}, "profile": np.array(list(PROFILES))[doc_near], "divergence": divergence, "language": np.array([*LANGUAGES, ""])[language],
     }
 
 
-SCHEMA = "chars bigint, words bigint, word_length double, symbol_ratio double, lines bigint, line_end_share double, common_word_share double, prose_share double, list_share double, table_share double, junk_share double, profile string, divergence double"
+SCHEMA = "chars bigint, words bigint, word_length double, symbol_ratio double, lines bigint, line_end_share double, common_word_share double, prose_share double, list_share double, table_share double, junk_share double, profile string, divergence double, language string"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -244,7 +257,8 @@ def _describe(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterato
             d = describe(texts)
             blank = d["chars"] == 0
             profile = [None if z else p.split("_")[0] for p, z in zip(d["profile"].tolist(), blank)]
-            cols = [pa.array(profile, pa.string()) if k == "profile" else pa.array(v.astype(np.int64) if v.dtype.kind == "i" else v) for k, v in d.items()]
+            d["language"] = [x or None for x in d["language"].tolist()]
+            cols = [pa.array(profile if k == "profile" else v, pa.string()) if k in ("profile", "language") else pa.array(v.astype(np.int64) if v.dtype.kind == "i" else v) for k, v in d.items()]
             yield pa.RecordBatch.from_arrays([b[key].slice(start, at - start), *cols], [key, *d])
 
 
@@ -252,11 +266,13 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Statistics of each text: (key, chars = non-blank characters, words = runs of letters, word_length,
     symbol_ratio, lines = lines with anything on them, line_end_share = those that end in punctuation,
     common_word_share, prose_share, list_share, table_share, junk_share of the non-blank characters, profile and
-    divergence = the structural profile nearest to the whole text).
+    divergence = the structural profile nearest to the whole text, language = that of most of its function words or
+    signs, null without any).
 
-    Every segment (a line, or a piece of a long line) gets the profile whose distribution of function words and
-    character classes has the smallest Jensen-Shannon divergence from the segment's own; leading bullets, tabs and
-    bars settle lists and tables, and segments like headings are prose unless many follow one another.
+    Every segment (a line, or a piece of a long line) is in the language that most of its function words are of, and gets
+    the profile whose distribution of that language's function words and of character classes has the smallest
+    Jensen-Shannon divergence from the segment's own; leading bullets, tabs and bars settle lists and tables, and
+    segments like headings are prose unless many follow one another.
 
     Null, empty and blank texts get zeros and a null profile. Whole texts are read, of any length and language, each
     where it lies: there is no shuffle. Repeated rows are described each; other columns are ignored.

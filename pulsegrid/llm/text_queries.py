@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.columns import stable
 from pulsegrid.llm.encode import decode_ids, encode_texts
 from pulsegrid.llm.mixing import fit_classifier, mix, reached
 from pulsegrid.llm.text_quality import text_statistics, without_prose
@@ -62,28 +63,24 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts that plain expressions give: words between blanks, their length, symbols, lines ending in punctuation."""
-    t = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(t, "\r\n|\r|\n"), lambda x: x.rlike(r"[^ \t]"))
-    ended = F.filter(lines, lambda x: x.rlike(r"[.!?:;。！？：；][ \t]*$"))
-    words = F.filter(F.split(t, r"[ \t\r\n]+"), lambda x: F.length(x) > 0)
-    chars = F.length(F.regexp_replace(t, r"[ \t\r\n]", ""))
-    symbols = F.length(F.regexp_replace(t, r"[^#<>|=_/\\{}*~^+]", ""))
-    return table(spark, folder, "documents").select(
-        "doc_id", F.size(words).cast("bigint").alias("n_words"), F.when(F.size(words) > 0, chars / F.size(words)).alias("mean_word_length"), F.when(chars > 0, symbols / chars).alias("symbol_ratio"),
-        F.size(lines).cast("bigint").alias("n_lines"), F.when(F.size(lines) > 0, F.size(ended) / F.size(lines)).alias("line_end_share"),
-    )
+    """The statistics of the operator that SQL can express: characters, words and their mean length, lines and those that end
+    in punctuation, symbols."""
+    s = text_statistics(table(spark, folder, "documents"))
+    return s.select("doc_id", "chars", "words", stable(F.col("word_length")).alias("word_length"), "lines", stable(F.col("line_end_share")).alias("line_end_share"), stable(F.col("symbol_ratio")).alias("symbol_ratio"))
 
 
 QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept, "p9_classifier": p9_classifier, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
 
+# letters are those outside kana, the Chinese signs and the supplementary planes, and the sign of micro is none
+_COUNTS = r"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+a as (select doc_id, t, regexp_replace(t, '[\p{Zs}\p{Zl}\p{Zp}\p{Cc}\p{Cf}]', '', 'g') as ink, regexp_extract_all(regexp_replace(t, '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{2500}-\x{26FF}\x{FFFD}\x{10000}-\x{10FFFF}µ]', ' ', 'g'), '[\p{L}\p{M}]+') as w,
+  list_filter(regexp_split_to_array(t, '[\n\r\x{2028}\x{2029}\x0b\x0c\x{85}]'), lambda x: length(regexp_replace(x, '[\p{Zs}\p{Zl}\p{Zp}\p{Cc}\p{Cf}]', '', 'g')) > 0) as l from t),
+b as (select doc_id, length(ink) as chars, len(w) as words, list_sum(list_transform(w, lambda x: length(x))) as letters, len(l) as lines, len(list_filter(l, lambda x: regexp_matches(x, '[.,;:!?。、，；：！？][\p{Zs}\p{Cc}\p{Cf}]*$'))) as ended,
+  length(regexp_replace(ink, '[\p{L}\p{M}\p{N}.,;:!?。、，；：！？\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{20000}-\x{3FFFF}()\[\]''"’‘“”„«»（）【】「」\-‐‑%°§&/µ²³]', '', 'g')) as signs from a)
+select doc_id, chars, words, round(coalesce(letters, 0) / greatest(words, 1) + 1e-9, 6) + 0.0 as word_length, lines, round(ended / greatest(lines, 1) + 1e-9, 6) + 0.0 as line_end_share, round(signs / greatest(chars, 1) + 1e-9, 6) + 0.0 as symbol_ratio from b"""
 SQL = {
     "p9_kept": "select lower(trim(source)) as source, true as share_kept, true as cap_kept from mix_targets",
     "p8_round_trip": "select doc_id, length(coalesce(text, '')) as n_chars, md5(coalesce(text, '')) as digest from documents",
-    "p10_counts": r"""
-with t as (select doc_id, coalesce(text, '') as t from documents),
-a as (select doc_id, list_filter(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: regexp_matches(x, '[^ \t]')) as lines, list_filter(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x) > 0) as words,
-  length(regexp_replace(t, '[ \t\r\n]', '', 'g')) as chars, length(regexp_replace(t, '[^#<>|=_/\\{}*~^+]', '', 'g')) as symbols from t)
-select doc_id, len(words) as n_words, case when len(words) > 0 then chars / len(words) end as mean_word_length, case when chars > 0 then symbols / chars end as symbol_ratio, len(lines) as n_lines,
-  case when len(lines) > 0 then len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;。！？：；][ \t]*$'))) / len(lines) end as line_end_share from a""",
+    "p10_counts": _COUNTS,
 }

@@ -87,3 +87,14 @@ def test_a_sentence_with_few_function_words_is_no_heading():
     text = "Improved barrel for compact imaging optics\nSummary\nThe object is achieved by a mirror having the features set out in the independent claims."
     d = Q.describe([text, "housing\nvalve seat\ncover plate\nspring washer\nbushing\nsealing ring"])
     assert d["prose_share"][0] > 0.5 and d["prose_share"][1] == 0
+
+
+def test_language_of_the_function_words():
+    got = Q.describe([*PROSE.values(), "42 | 17", ""])["language"].tolist()
+    assert got == [*PROSE, "", ""]
+
+
+def test_function_words_of_several_languages_do_not_add_up():
+    """Names with particles of many languages are no sentence of any."""
+    d = Q.describe(["Garcia y Vega\nvon Berg und Söhne\nDupont et Cie\nSmith and Jones\nRossi\nvan Dyck"])
+    assert d["prose_share"][0] == 0
