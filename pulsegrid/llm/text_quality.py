@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words that sentences need and lists, tables and headings can do without. Articles are left out, as names in lists
 #: have them too. Fixed values.
 FUNCTION_WORDS = {
-    "en": "of to in is for and or that which by with on at from as be are was were may can has have had not than if when whereby wherein this these those it its between into least only so such even also other both before after there no should would could however moreover thereby each any does do been but where while whose during without until about",
+    "en": "of to in is for through then upon and or that which by with on at from as be are was were may can has have had not than if when whereby wherein this these those it its between into least only so such even also other both before after there no should would could however moreover thereby each any does do been but where while whose during without until about",
     "de": "und oder in im ist sind mit bei nach von vom zu zum zur für auf an am aus dass wobei wird werden wurde nicht als auch durch über unter sich dem den kann können so wie um vor bis zwischen einem einer eines ein eine dadurch umfassend hierdurch sobald dabei es aus blieb innerhalb",
     "fr": "et ou de du des dans est sont avec par pour sur en que qui selon une un ce cette ces peut être au aux à pas ne se son sa ses entre lequel laquelle comprenant caractérisé ainsi lors après avant plus même",
     "es": "y o de del en es son con por para que se según una un este esta su sus al no puede entre cual como más cuando comprende donde porque está antes después durante lo mediante",
