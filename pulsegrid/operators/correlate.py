@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import ratio
-from pulsegrid.session import small_side
+from pulsegrid.session import broadcast_if_small, small_side, written
 
 MEASURES = ["mean_value", "std_value", "min_value", "max_value", "rate_of_change"]
 NO_EVENT = "No Event"
@@ -31,6 +31,24 @@ def most_frequent(rows: DataFrame, keys: list[str], value: str, order: str, defa
     return top.select(*keys, F.when(F.col("t.n") > 0, F.col(f"t.{value}")).otherwise(default).alias(value))
 
 
+def with_representatives(averages: DataFrame, representatives: DataFrame) -> DataFrame:
+    """Averages with the representative event of their session and phase; those without one are left out."""
+    return averages.join(small_side(representatives, "representatives"), ["session", "phase"])
+
+
+def user_means(features: DataFrame, measure: str = "mean_value") -> DataFrame:
+    """Mean of a measure and its number of readings per user, session and epoch."""
+    known = features.where((F.col("user_id") >= 1) & (F.col("session") >= 1) & (F.col("epoch") >= 0))
+    return known.groupBy("user_id", "session", "epoch").agg(F.avg(measure).alias("mean"), F.count(measure).alias("n"))
+
+
+def participant_pairs(means: DataFrame) -> DataFrame:
+    """The means of the two participants of each pair (1 and 2, 3 and 4, ...) side by side, per session and epoch; null where
+    one of them has none."""
+    first = F.col("user_id") % 2 == 1
+    return means.groupBy(F.floor((F.col("user_id") + 1) / 2).alias("pair"), "session", "epoch").agg(F.max(F.when(first, F.col("mean"))).alias("first"), F.max(F.when(~first, F.col("mean"))).alias("second"))
+
+
 def padded_average(features: DataFrame, measure: str = "mean_value", tail: int = 20) -> DataFrame:
     """Mean and population deviation over the streams of a session by epoch, a stream without the epoch counting as 0.
 
@@ -54,10 +72,23 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, limit:
 
 
 def codes(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Adds code: 0, 1, ... in the order in which values are first seen; -1 for null."""
+    """Adds code: 0, 1, ... in the order in which values are first seen; -1 for null. Of values first seen together the
+    smaller comes first.
+
+    Values are sorted over many tasks; each numbers its own from the number of those before, of which the driver gets
+    one count a task."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    ranked = first.select(column, (F.dense_rank().over(Window.orderBy("_first")) - 1).cast("bigint").alias("code"))  # one row per value
-    return df.join(small_side(ranked, "codes"), column, "left").withColumn("code", F.coalesce("code", F.lit(-1).cast("bigint")))
+    placed = first.repartitionByRange(F.col("_first").asc_nulls_last(), column).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(F.asc_nulls_last("_first"), column)
+    placed = written(placed.withColumn("_n", F.row_number().over(w) - 1), "codes")
+    counts = sorted(placed.groupBy("_part").count().collect())
+    starts, so_far = {}, 0
+    for part, n in counts:
+        starts[part] = so_far
+        so_far += n
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_part")) if starts else F.lit(0)
+    ranked = placed.select(column, (before + F.col("_n")).cast("bigint").alias("code"))
+    return df.join(broadcast_if_small(ranked), column, "left").withColumn("code", F.coalesce("code", F.lit(-1).cast("bigint")))
 
 
 def indicator_correlations(merged: DataFrame, column: str = "event_type", measures: list[str] = MEASURES, least: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, micros
 from pulsegrid.functions.ordered import BLOCK, with_neighbours, with_running_sum
-from pulsegrid.session import broadcast_if_small, small_side
+from pulsegrid.session import broadcast_if_small, small_side, written
 
 EPOCH_S = 5.0
 EVENT = ["event_name", "event_type", "event_duration", "metadata"]
@@ -24,14 +24,36 @@ def merge_covering(features: DataFrame, events: DataFrame, epoch_s: float = EPOC
     """Every feature row with the event that covers its epoch, null where none does.
 
     An event covers the epochs from its ordinal to its ordinal plus its whole number of epochs; of several the one
-    with the largest ordinal, then the largest row id, counts. A null or negative duration covers one epoch. Events
-    are laid out by epoch and reduced to one per stream and epoch first, so the join is one to many and by equality.
+    with the largest ordinal, then the largest row id, counts. A null or negative duration covers one epoch.
+
+    The epochs of an event are cut into stretches whose length is a power of two and that start at a multiple of it, at
+    most two of a length, so a duration of millions of epochs gives some forty rows. Events are reduced to one per
+    stream and stretch, and a feature row looks up the stretch of each length in use that its epoch lies in.
     """
-    last = F.greatest(F.coalesce(F.floor(F.col("event_duration") / epoch_s), F.lit(0)), F.lit(0))
-    e = events.where(F.col("event_id").isNotNull()).select(entity_key("stream_id").alias("sid"), F.explode(F.sequence(F.col("event_id"), F.col("event_id") + last)).alias("epoch"), F.struct("event_id", "event_row_id").alias("rank"), F.struct(*EVENT).alias("e"))
-    winner = e.groupBy("sid", "epoch").agg(F.max_by("e", "rank").alias("e"))
+    pieces = "array<struct<level:int,at:bigint>>"
+    last = F.least(F.greatest(F.coalesce(F.floor(F.col("event_duration") / epoch_s), F.lit(0)), F.lit(0)), F.lit(2**40)).cast("bigint")
+    state = F.struct(F.col("event_id").cast("bigint").alias("a"), (F.col("event_id") + last).cast("bigint").alias("z"), F.array().cast(pieces).alias("out"))
+
+    def cut(x: Column, level: Column) -> Column:
+        odd = (x["a"] <= x["z"]) & (F.pmod(x["a"], F.lit(2)) == 1)
+        even = (x["a"] <= x["z"]) & (F.pmod(x["z"], F.lit(2)) == 0)  # never the same stretch as the odd one
+        piece = lambda yes, at: F.when(yes, F.array(F.struct(level.cast("int").alias("level"), at.alias("at")))).otherwise(F.array().cast(pieces))
+        a, z = F.when(odd, x["a"] + 1).otherwise(x["a"]), F.when(even, x["z"] - 1).otherwise(x["z"])
+        done = a > z  # halving could bring them together again
+        return F.struct(F.when(done, F.lit(0)).otherwise(F.floor(a / 2)).cast("bigint").alias("a"), F.when(done, F.lit(-1)).otherwise(F.floor(z / 2)).cast("bigint").alias("z"), F.concat(x["out"], piece(odd, x["a"]), piece(even, x["z"])).alias("out"))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(last + 2)).cast("int") + 1)
+    stretches = F.aggregate(levels, state, cut, lambda x: x["out"])
+    e = events.where(F.col("event_id").isNotNull()).select(entity_key("stream_id").alias("sid"), F.struct("event_id", "event_row_id").alias("rank"), F.struct(*EVENT).alias("e"), F.inline(stretches))
+    winner = written(e.groupBy("sid", "level", "at").agg(F.max_by("e", "rank").alias("e"), F.max("rank").alias("rank")), "covering")
+    used = sorted(r[0] for r in winner.select("level").distinct().collect())  # some 42 lengths at most
     f = features.withColumn("sid", entity_key("stream_id"))
-    return f.join(winner, ["sid", "epoch"], "left").select(*features.columns, "sid", *[F.col(f"e.{c}").alias(c) for c in EVENT])
+    if not used:
+        return f.select(*features.columns, "sid", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in EVENT])
+    epochs = f.where(F.col("epoch").isNotNull() & F.col("sid").isNotNull()).select("sid", "epoch").distinct()
+    looked = epochs.select("*", F.inline(F.array(*[F.struct(F.lit(x).alias("level"), F.floor(F.col("epoch") / 2**x).alias("at")) for x in used])))
+    best = looked.join(winner, ["sid", "level", "at"]).groupBy("sid", "epoch").agg(F.max_by("e", "rank").alias("e"))
+    return f.join(best, ["sid", "epoch"], "left").select(*features.columns, "sid", *[F.col(f"e.{c}").alias(c) for c in EVENT])
 
 
 def device_of(stream: Column) -> Column:

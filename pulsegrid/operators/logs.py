@@ -102,6 +102,47 @@ def metadata_entries(log: DataFrame) -> DataFrame:
     return log.where(F.col("metadata").isNotNull()).select("row_id", F.explode(m).alias("key", "value"))
 
 
+def metadata_values(log: DataFrame) -> DataFrame:
+    """The entries of metadata as far as it is a dictionary in either notation, values with apostrophes included, and other
+    texts whole under the key raw_metadata: (row_id, key, value). A null or blank text and an empty dictionary have none."""
+    m = F.from_json("metadata", "map<string,string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    raw = F.when(F.trim("metadata") != "", F.create_map(F.lit("raw_metadata"), F.col("metadata")))
+    whole = F.when(F.trim("metadata").startswith("{"), F.coalesce(m, raw)).otherwise(raw)
+    return log.where(F.col("metadata").isNotNull()).select("row_id", F.explode(whole).alias("key", "value"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Structured log rows in order of time, a start before an end of the same instant."""
+    return rows.orderBy("log_key", "session", "ts", F.when(F.col("phase") == "started", 0).otherwise(1), "row_id")
+
+
+def with_value_lines(log: DataFrame) -> DataFrame:
+    """Log events as raw lines, three to an event: started, the accuracy of its metadata in percent if it has one, ended."""
+    said = metadata_values(log).where(F.col("key") == "accuracy").groupBy("row_id").agg(F.min("value").alias("said"))
+    ok = log.where(F.col("log_key").isNotNull() & F.col("marker").isNotNull()).join(said, "row_id", "left")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("category")), F.lit("block_info"))
+    line = lambda n, ts, content: F.struct(F.lit(n).alias("n"), ts.alias("ts"), content.alias("content"))
+    start, end = F.col("start_time"), F.col("end_time")
+    lines = F.array(line(0, start, F.concat(kind, F.lit(": "), "marker", F.lit(" started"))), line(1, end, F.concat("said", F.lit("%"))), line(2, end, F.concat(kind, F.lit(": "), "marker", F.lit(" ended"))))
+    each = ok.select("log_key", "session", "row_id", F.inline(lines)).where(F.col("ts").isNotNull() & F.col("content").isNotNull())
+    return each.select("log_key", "session", (F.col("row_id") * 3 + F.col("n")).alias("line_no"), "ts", "content")
+
+
+def accuracies(lines: DataFrame) -> DataFrame:
+    """The accuracy of each block that ended: (log_key, session, line_no, name, accuracy), the number on the line before its
+    end without its percent sign; null where that line holds no number."""
+    n = previous_lines(lines).where(F.col("content").rlike(r"^block_\w+: .* ended$"))
+    value = F.regexp_replace(F.trim("previous"), r"\s*%$", "").try_cast("double")
+    return n.select("log_key", "session", "line_no", one_based(F.regexp_extract("content", LINE, 2)).alias("name"), value.alias("accuracy"))
+
+
+def completed_sets(lines: DataFrame) -> DataFrame:
+    """Lines that tell of completed trials: (log_key, session, line_no, task, minutes), minutes null where none are given."""
+    c = F.col("content")
+    task = F.regexp_extract(c, r"^block_info: completed (\w+) trials", 1)
+    return lines.where(task != "").select("log_key", "session", "line_no", task.alias("task"), F.regexp_extract(c, r"in ([\d.]+) minutes", 1).try_cast("double").alias("minutes"))
+
+
 def trial_spans(log: DataFrame, last: int) -> DataFrame:
     """Spans of trial sets: from the trial numbered 1 to each trial numbered `last` that comes after it in the log."""
     m = F.regexp_replace(F.lower(F.trim("marker")), r"[\s-]", "_")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import entity_key, finite, micros, ratio
-from pulsegrid.functions.ordered import BLOCK, with_halo, with_neighbours
+from pulsegrid.functions.ordered import BLOCK, with_halo, with_neighbours, with_running_sum
 from pulsegrid.session import broadcast_if_small, small_side, written
 
 KEYS = ["sid", "session", "channel"]
@@ -138,6 +138,23 @@ def time_epochs(rows: DataFrame, seconds: float) -> DataFrame:
     return e.join(number, [*KEYS, "_w"]).drop("_t", "_a", "_z", "_n", "_w")
 
 
+def epoch_starts(epochs: DataFrame) -> DataFrame:
+    """First instant of each epoch, for time axes."""
+    return epochs.groupBy(*KEYS, "epoch").agg(F.min("ts").alias("first_ts"))
+
+
+def running_orientation(rows: DataFrame) -> DataFrame:
+    """Adds `turned`, the sum of the readings of a channel up to and with each."""
+    return with_running_sum(rows, KEYS, "pos", F.coalesce("value", F.lit(0.0)), "turned")
+
+
+def scale_by_normality(rows: DataFrame, tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds `scaled`: each channel to 0 to 1 if all series pass a test of normality (tests: a p value each), at alpha over
+    their number (Bonferroni), else its z-scores."""
+    t = tests.agg(F.min("p").alias("p"), F.count("p").alias("n")).first()
+    return min_max(rows) if t["n"] and t["p"] >= alpha / t["n"] else z_score(rows)
+
+
 def overlapping_epochs(rows: DataFrame, size: int) -> DataFrame:
     """Epochs of size + 1 positions that share their border with the next; unfinished ones are dropped."""
     q = F.floor(F.col("pos") / size)

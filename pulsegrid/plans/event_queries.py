@@ -118,6 +118,37 @@ def metadata_entries(spark, folder):
     return L.metadata_entries(_t(spark, folder, "log_events"))
 
 
+def metadata_values(spark, folder):
+    return L.metadata_values(_t(spark, folder, "log_events"))
+
+
+def ordered_log(spark, folder):
+    return L.in_order(L.structured(_t(spark, folder, "log_events"))).withColumn("ts", stable(F.col("ts"), 4))
+
+
+def accuracies(spark, folder):
+    return L.accuracies(L.with_value_lines(_t(spark, folder, "log_events")))
+
+
+def sync_event_shifts(spark, folder):
+    """By how much each sync event is moved: its shifted start less its own."""
+    log = _t(spark, folder, "log_events").where(F.col("category") == "Sync Events").select("row_id", F.col("start_time").alias("own"))
+    return shifted_markers(spark, folder).join(log, "row_id").select("row_id", "marker", stable(F.col("start_time") - F.col("own"), 2).alias("moved"))
+
+
+def averages_with_events(spark, folder):
+    return C.with_representatives(average_over_users(spark, folder), representative_events(spark, folder))
+
+
+def user_means(spark, folder):
+    return C.user_means(_features(spark, folder)).withColumn("mean", stable(F.col("mean")))
+
+
+def participant_pairs(spark, folder):
+    p = C.participant_pairs(C.user_means(_features(spark, folder)))
+    return p.withColumns({c: stable(F.col(c)) for c in ("first", "second")})
+
+
 def trial_spans(spark, folder):
     return L.trial_spans(_t(spark, folder, "log_events"), 3)
 
@@ -196,7 +227,7 @@ def streams_per_user(spark, folder):
     return K.streams_per_user(_t(spark, folder, "recordings"))
 
 
-QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, event_classes, metadata_entries, trial_spans, set_spans, follow_on, yoga_schedule, average_over_users, representative_events, padded_average, one_hot_categories, category_indicators, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
+QUERIES = {f.__name__: f for f in (equal_merge, covering_merge, enriched_events, spike_bounds, spaced_spikes, sync_markers, sync_shifts, window_shifts, shifted_markers, annotations, log_bounds, parsed_lines, paired_lines, previous_lines, without_repeats, marker_classes, event_classes, metadata_entries, trial_spans, set_spans, metadata_values, ordered_log, accuracies, sync_event_shifts, averages_with_events, user_means, participant_pairs, follow_on, yoga_schedule, average_over_users, representative_events, padded_average, one_hot_categories, category_indicators, type_codes, indicator_correlations, cross_stream_correlations, series_report, structured_log, form_answers, event_durations, stream_owners, streams_per_user)}
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -259,6 +290,20 @@ c as (select row_id, unnest([case when regexp_matches(m, 'trial_[0-9]+_set') the
  case when contains(m, 'instr') then null when contains(m, 'brums') then 'BRUMS' when contains(m, 'sss') then 'SSS' when contains(m, 'vasf') then 'VASF' when contains(m, 'likert') then 'LIKERT' end]) as class from k)
 select * from c where class is not null""",
     "metadata_entries": _ENTRIES,
+    "metadata_values": _ENTRIES + r""" union all select row_id, 'raw_metadata', metadata from log_events where trim(metadata) <> '' and not (trim(metadata) like '{%' and json_valid(replace(metadata, '''', '"')))""",
+    "ordered_log": f"select log_key, session, row_id, marker, phase, {_r('ts', 4)} as ts from (select log_key, session, row_id, marker, 'started' as phase, start_time as ts from log_events union all select log_key, session, row_id, marker, 'ended', end_time - 0.1 from log_events) where log_key is not null and ts is not null",
+    "accuracies": r"""with k as (select *, case category when 'Trial Sets' then 'block_trial' when 'Zero Score Trials' then 'block_trial' when 'Sync Events' then 'block_sync' when 'Rest Events' then 'block_rest' when 'Accuracy Events' then 'block_acc' when 'Instruction Events' then 'block_instr' else 'block_info' end as kind,
+ nullif(regexp_extract(metadata, '["'']accuracy["'']\s*:\s*["'']?([^"'',}]+)', 1), '') as said from log_events where log_key is not null and marker is not null),
+l as (select log_key, session, row_id * 3 as line_no, kind || ': ' || marker || ' started' as content, null as name from k where start_time is not null union all select log_key, session, row_id * 3 + 1, said || '%', null from k where end_time is not null and said is not null
+ union all select log_key, session, row_id * 3 + 2, kind || ': ' || marker || ' ended', case when regexp_extract(marker, '_(\d+)$', 1) <> '' then concat(regexp_replace(marker, '\d+$', ''), cast(regexp_extract(marker, '_(\d+)$', 1) as bigint) + 1) else marker end from k where end_time is not null),
+p as (select *, lag(content) over (partition by log_key, session order by line_no) as before from l)
+select log_key, session, line_no, name, try_cast(regexp_replace(trim(before), '\s*%$', '') as double) as accuracy from p where content like '% ended'""",
+    "sync_event_shifts": f"""with {_SHIFTS}, one as (select log_key, session, arg_max(shift, sid) as shift from sh group by 1, 2) select row_id, marker, {_r("round(start_time + coalesce(shift, 0) + 1e-6, 3) - start_time", 2)} as moved from log_events left join one using (log_key, session) where log_key is not null and start_time is not null and category = 'Sync Events'""",
+    "averages_with_events": f"""with {_MERGED}, ph as (select *, case when event_type = 'Yoga Poses' then 'Yoga Phase' else 'Cognitive Load Phase' end as phase from merged where session is not null),
+av as (select epoch, session, phase, {_MEAN5} from ph where epoch is not null group by 1, 2, 3), n as (select session, phase, event_name, count(event_name) as n, min(feature_id) as first from ph group by 1, 2, 3),
+rp as (select session, phase, case when max(n) > 0 then arg_max(coalesce(event_name, ''), (n, -first)) else 'No Event' end as event_name from n group by 1, 2) select * from av join rp using (session, phase)""",
+    "user_means": f"select user_id, session, epoch, {_r('avg(v)')} as mean, count(v) as n from (select *, case when isnan(mean_value) or isinf(mean_value) then null else mean_value end as v from feature_rows) where user_id >= 1 and session >= 1 and epoch >= 0 group by 1, 2, 3",
+    "participant_pairs": f"with m as (select user_id, session, epoch, avg(case when isnan(mean_value) or isinf(mean_value) then null else mean_value end) as mean from feature_rows where user_id >= 1 and session >= 1 and epoch >= 0 group by 1, 2, 3) select (user_id + 1) // 2 as pair, session, epoch, {_r('max(mean) filter (user_id % 2 = 1)')} as first, {_r('max(mean) filter (user_id % 2 = 0)')} as second from m group by 1, 2, 3",
     "trial_spans": rf"""with t as (select log_key, session, row_id, start_time, end_time, regexp_extract({_NORM}, '^(\w+?)_trial_(\d+)_set_(\d+)$', ['task', 'trial', 'set']) as p from log_events where log_key is not null and start_time is not null),
 u as (select *, p.task as task, p.trial as trial, p.set as set from t where p.trial <> ''),
 n as (select *, max(case when trial = '1' then row_id end) over (partition by log_key, session, task, set order by row_id rows between unbounded preceding and 1 preceding) as open_row from u)

@@ -123,6 +123,19 @@ def crossings(spark, folder):
     return E.crossings(_epochs(spark, folder, "ACC", scaled=True))
 
 
+def epoch_starts(spark, folder):
+    return S.epoch_starts(S.time_epochs(_cropped(spark, folder, "TEMP"), 10.0))
+
+
+def orientation(spark, folder):
+    return _rounded(S.running_orientation(signal(spark, folder, "ACC")), "turned", digits=4).select(*ROW, "turned")
+
+
+def scaled_by_normality(spark, folder):
+    rows = signal(spark, folder, "EEG")
+    return _rounded(S.scale_by_normality(rows, E.normality(rows)), "scaled").select(*ROW, "scaled")
+
+
 def temperature(spark, folder):
     return _rounded(E.change_rates(S.time_epochs(_cropped(spark, folder, "TEMP"), 10.0)), "mean", "std", "rate")
 
@@ -162,7 +175,7 @@ def histograms(spark, folder):
     return _rounded(S.histogram(signal(spark, folder), ["channel"]), "from", digits=4)
 
 
-QUERIES = {f.__name__: f for f in (sampling_rates, decimated, held, interpolated, stepped, smoothed, median_filtered, z_scores, min_max, standardised, levelled, rereferenced, cropped, sliced, epoch_moments, eeg_epoch_moments, bvp_moments, mean_power, entropy, motion, crossings, temperature, skin_response, pulse_amplitude, blood_flow, rejected, normality, wide_features, baselined, histograms)}
+QUERIES = {f.__name__: f for f in (sampling_rates, decimated, held, interpolated, stepped, smoothed, median_filtered, z_scores, min_max, standardised, levelled, rereferenced, cropped, sliced, epoch_moments, eeg_epoch_moments, bvp_moments, mean_power, entropy, motion, crossings, epoch_starts, orientation, scaled_by_normality, temperature, skin_response, pulse_amplitude, blood_flow, rejected, normality, wide_features, baselined, histograms)}
 
 
 def _sig(modality: str | None = None) -> str:
@@ -229,6 +242,9 @@ m as (select *, sqrt(x*x + y*y + z*z) as mag from w where x is not null and y is
 select sid, session, epoch, {_r('sum(abs(x) + abs(y) + abs(z))')} as sma, {_r('avg(mag)')} as magnitude, {_r('(arg_max(mag, pos) - arg_min(mag, pos)) / nullif(count(*) - 1, 0)')} as magnitude_change,
  {', '.join(_r(f'sum({c})') + f' as turn_{c}' for c in 'xyz')}, {', '.join(_r(f'(sum(abs({c})) - arg_min(abs({c}), pos)) / nullif(count(*) - 1, 0)') + f' as rate_{c}' for c in 'xyz')} from m group by 1, 2, 3""",
     "crossings": f"with {_sig('ACC')}, {_Z}, {_EP.replace('SRC', 'z')}, n as (select *, last_value(value ignore nulls) over (partition by sid, session, channel, epoch order by pos rows between unbounded preceding and 1 preceding) as p from ep) select sid, session, channel, epoch, count(*) filter (value * p < 0) as crossings from n group by 1, 2, 3, 4",
+    "epoch_starts": f"with {_sig('TEMP')}, {_REC}, {_time_ep(10000000)} select sid, session, channel, epoch, min(ts) as first_ts from ep group by 1, 2, 3, 4",
+    "orientation": f"with {_sig('ACC')} select sid, session, channel, pos, {_r(f'sum(coalesce(value, 0)) over ({_W} rows unbounded preceding)', 4)} as turned from sig",
+    "scaled_by_normality": _NORMAL.replace("with m", f"with {_sig('EEG')}, m", 1) + f", ok as (select min(exp(-(z1*z1 + z2*z2)/2)) >= 0.05 / count(*) as normal from c) select sid, session, channel, pos, case when (select normal from ok) then {_r('(value - min(value) over g) / nullif(max(value) over g - min(value) over g, 0)')} else {_r('(value - avg(value) over g) / nullif(stddev_samp(value) over g, 0)')} end as scaled from sig window g as (partition by sid, session, channel)",
     "temperature": f"with {_sig('TEMP')}, {_REC}, {_time_ep(10000000)}, n as (select *, last_value(value ignore nulls) over (partition by sid, session, channel, epoch order by pos rows between unbounded preceding and 1 preceding) as p from ep) select sid, session, channel, epoch, min(value) as min, {_r('avg(value)')} as mean, max(value) as max, {_r('stddev_pop(value)')} as std, {_r('coalesce(avg(abs(value - p)), 0)')} as rate from n group by 1, 2, 3, 4",
     "skin_response": f"with {_sig('GSR')}, {_REC}, {_time_ep(10000000)}, {_PEAKS.replace('SIGN', '1')}, q as (select sid, session, channel, epoch, count(*) as responses, avg(value) as amplitude from pk where value >= 0.05 group by 1, 2, 3, 4) select sid, session, channel, epoch, {_r('avg(value)')} as level, {_r('var_pop(value)')} as variance, coalesce(any_value(responses), 0) as responses, {_r('coalesce(any_value(amplitude), 0)')} as amplitude from ep left join q using (sid, session, channel, epoch) group by 1, 2, 3, 4",
     "pulse_amplitude": f"with {_sig('PPG')}, {_EP.replace('SRC', 'sig')} select sid, session, channel, epoch, {_r('max(value) - min(value)')} as amplitude from ep group by 1, 2, 3, 4",

@@ -64,3 +64,39 @@ def test_validation(spark):
         with pytest.raises(ValidationError):
             bad()
     assert Q.require_rate("64") == 64.0
+
+
+def test_covering_events_by_brute_force_and_a_huge_duration(spark):
+    import random
+
+    from pulsegrid.operators.events import merge_covering
+
+    rng = random.Random(4)
+    ev = [(i, "s", rng.randint(-3, 60), f"n{i}", "t", rng.choice([None, 0.0, 4.9, 5.0, 23.0, 90.0, 400.0]), "m") for i in range(80)] + [(99, "t", 5, "long", "t", 5e9, "m")]
+    ft = [(i, "s", i - 5) for i in range(120)] + [(200, "t", 4), (201, "t", 900_000_000), (202, "t", 2_000_000_000), (203, None, 1), (204, "s", None)]
+    got = {r.feature_id: r.event_name for r in merge_covering(spark.createDataFrame(ft, "feature_id bigint, stream_id string, epoch bigint"), spark.createDataFrame(ev, "event_row_id bigint, stream_id string, event_id bigint, event_name string, event_type string, event_duration double, metadata string")).collect()}
+    for f, s, e in ft:
+        over = [(x[2], x[0], x[3]) for x in ev if e is not None and x[1] == s and x[2] <= e <= x[2] + int((x[5] or 0) // 5)]
+        assert got[f] == (max(over)[2] if over else None), f
+
+
+def test_codes_follow_the_order_of_first_sight(spark):
+    from pulsegrid.operators.correlate import codes
+
+    rows = [(i, None if i % 7 == 0 else f"v{(i * 37) % 50}") for i in range(400)]
+    got = {r.i: r.code for r in codes(spark.createDataFrame(rows, "i bigint, v string"), "v", "i").collect()}
+    seen = []
+    for i, v in rows:
+        if v is not None and v not in seen:
+            seen.append(v)
+        assert got[i] == (-1 if v is None else seen.index(v))
+
+
+def test_log_values(spark):
+    from pulsegrid.operators import logs as L
+
+    log = spark.createDataFrame([(1, "{'a': \"it's\", 'b': 2}"), (2, "free text"), (3, "{broken"), (4, " "), (5, None), (6, "{}")], "row_id bigint, metadata string")
+    assert {(r.row_id, r.key, r.value) for r in L.metadata_values(log).collect()} == {(1, "a", "it's"), (1, "b", "2"), (2, "raw_metadata", "free text"), (3, "raw_metadata", "{broken")}
+    lines = spark.createDataFrame([("k", 1, i, float(i), c) for i, c in enumerate(["block_acc: x_0 started", " 75.5 % ", "block_acc: x_0 ended", "block_rest: r ended", "block_info: completed nback trials in 4.5 minutes", "block_info: completed dual trials"])], "log_key string, session int, line_no bigint, ts double, content string")
+    assert {(r.name, r.accuracy) for r in L.accuracies(lines).collect()} == {("x_1", 75.5), ("r", None)}
+    assert {(r.task, r.minutes) for r in L.completed_sets(lines).collect()} == {("nback", 4.5), ("dual", None)}
