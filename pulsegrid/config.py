@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from typing import Any
 
@@ -50,3 +51,26 @@ class Settings:
     def get(self, name: str, default: Any = None) -> Any:
         value = self._raw(name)
         return default if value is None else self._resolve(value)
+
+    def get_path(self, name: str, make: bool = False) -> str:
+        """A path below `paths`, made if wanted; raises where there is none."""
+        path = self.get(f"paths.{name}")
+        if not isinstance(path, str) or not path.strip():
+            raise ConfigurationError(f"no path {name}")
+        if make:
+            os.makedirs(path, exist_ok=True)
+        return path
+
+    def get_all_paths(self) -> dict[str, str]:
+        """All texts below `paths` by dotted name, resolved."""
+        out: dict[str, str] = {}
+
+        def walk(prefix: str, at: Any) -> None:
+            if isinstance(at, dict):
+                for k, v in at.items():
+                    walk(f"{prefix}.{k}" if prefix else k, v)
+            elif isinstance(at, str):
+                out[prefix] = self._resolve(at)
+
+        walk("", self._raw("paths"))
+        return out

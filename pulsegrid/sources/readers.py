@@ -29,10 +29,11 @@ def file_stem(column: str = "_metadata.file_name") -> Column:
     return F.regexp_replace(F.col(column), r"\.[^.]*$", "")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named columns of CSV files with a header, as numbers where they are; rows with a missing value are dropped.
-    Raises if a column is missing or no row is left."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_csv(spark: SparkSession, path: str, columns: list[str], schema: str | None = None) -> DataFrame:
+    """The named columns of CSV files with a header; rows with a missing value are dropped. Types are those of `schema`;
+    without it they are found by reading the files once more. Raises if a column is missing or no row is left."""
+    reader = spark.read.option("header", True)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if missing := [c for c in columns if c not in df.columns]:
         raise SourceError(f"{path} lacks {', '.join(missing)}")
     rows = df.select(*columns).dropna("any")
@@ -70,6 +71,46 @@ def infer_modality(df: DataFrame) -> str:
     raise SourceError(f"no modality has {n} columns")
 
 
+#: Sampling rate in Hz that files without times are taken to have. Fixed value.
+UNTIMED_RATE = 256.0
+
+
+def read_untimed(spark: SparkSession, path: str, session: int) -> DataFrame:
+    """Headerless CSV files `<stream>.csv` of one modality, found from the numbers (see infer_modality), as long rows. The
+    instants of a file follow one another at UNTIMED_RATE from 1970 on; a fifth column of an EEG file is dropped.
+
+    Rows are numbered in the order of the file: a file is one split."""
+    df = spark.read.option("inferSchema", True).csv(path, header=False)
+    modality = infer_modality(df)
+    names = CHANNELS[modality][: 4 if modality == "EEG" else None]
+    w = Window.partitionBy("stream_id").orderBy("_n")
+    rows = df.select("*", file_stem().alias("stream_id"), F.monotonically_increasing_id().alias("_n")).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), F.col(c).cast("double").alias("value")) for n, c in zip(names, df.columns)]))
+    long = rows.select("stream_id", "pos", each)
+    ts = F.timestamp_micros((F.col("pos") * (1_000_000 / UNTIMED_RATE)).cast("bigint")).cast("timestamp_ntz")
+    return long.select(F.lit(session).alias("session"), "stream_id", F.lit(modality).alias("modality"), "pos", ts.alias("ts"), "channel", "value")
+
+
+def format_eeg(df: DataFrame) -> DataFrame:
+    """An EEG table of five unnamed columns with the names of its channels and without R_AUX; raises for another width."""
+    if len(df.columns) != len(CHANNELS["EEG"]):
+        raise SourceError(f"an EEG table has {len(CHANNELS['EEG'])} columns, this one {len(df.columns)}")
+    return df.toDF(*CHANNELS["EEG"]).drop("R_AUX")
+
+
+def read_all_sessions(spark: SparkSession, folder: str, modalities: list[str]) -> dict[str, DataFrame]:
+    """The Parquet tables `<modality>_all_sessions` of a folder that are there; those that are not are left out."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    paths = {m: f"{folder.rstrip('/')}/{m.lower()}_all_sessions" for m in modalities}
+    return {m: spark.read.parquet(p) for m, p in paths.items() if hadoop.Path(p).getFileSystem(conf).exists(hadoop.Path(p))}
+
+
+def read_yoga(spark: SparkSession, path: str) -> DataFrame:
+    """The schedule of yoga poses, a CSV of poses and seconds: (pose, seconds)."""
+    return spark.read.option("header", True).schema("pose string, seconds double").csv(path)
+
+
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """Event logs `<log_key>_events.csv` as (log_key, marker, start_time, end_time, category, metadata, duration).
 
@@ -80,13 +121,13 @@ def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(key.alias("log_key"), F.col("Marker").alias("marker"), start.alias("start_time"), F.col("End").alias("end_time"), F.col("Category").alias("category"), F.col("Metadata").alias("metadata"), (F.col("End") - F.col("Start")).alias("duration"))
 
 
-def read_raw_log(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_log(spark: SparkSession, path: str, session: int = 0) -> DataFrame:
     """Raw logs of lines `<unix seconds>,<content>`: (log_key, session, line_no, ts, content), lines in file order.
 
     Line numbers come from the text reader's order within a file split, so they increase along a file."""
     df = spark.read.text(path).select(file_stem().alias("log_key"), "value", F.monotonically_increasing_id().alias("line_no"))
     parts = F.split("value", ",", 2)
-    return df.where(F.size(parts) == 2).select("log_key", F.lit(0).alias("session"), "line_no", parts[0].try_cast("double").alias("ts"), F.replace(parts[1], F.lit(TYPO[0]), F.lit(TYPO[1])).alias("content"))
+    return df.where(F.size(parts) == 2).select("log_key", F.lit(session).alias("session"), "line_no", parts[0].try_cast("double").alias("ts"), F.replace(parts[1], F.lit(TYPO[0]), F.lit(TYPO[1])).alias("content"))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -24,6 +24,11 @@ def write_features(rows: DataFrame, path: str, mode: str = "errorifexists") -> N
     rows.write.mode(mode).partitionBy("session").parquet(_checked(path))
 
 
+def write_all_sessions(rows: DataFrame, folder: str, modality: str, mode: str = "errorifexists") -> None:
+    """The features of one modality as one table of all sessions, where read_all_sessions finds it."""
+    rows.write.mode(mode).parquet(f"{_checked(folder).rstrip('/')}/{modality.lower()}_all_sessions")
+
+
 def write_events(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Log events as CSV with a header, a folder per log."""
     log.write.mode(mode).partitionBy("log_key").option("header", True).csv(_checked(path))
