@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.blocks import numbers, sorted_groups
 from pulsegrid.functions.columns import entity_key, micros
-from pulsegrid.functions.ordered import BLOCK, with_neighbours, with_running_sum
 from pulsegrid.session import broadcast_if_small, small_side, written
 
 EPOCH_S = 5.0
@@ -84,19 +88,70 @@ def first_and_last(wide: DataFrame, threshold: float) -> DataFrame:
     return magnitudes(wide).where(F.col("mag") > threshold).groupBy("sid", "session").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+def _following(t: np.ndarray, apart: int) -> np.ndarray:
+    """For each of the sorted times, which is the first more than `apart` after it; their number where there is none."""
+    return np.searchsorted(t, t + apart, side="right")
+
+
+def _ways(table: pa.Table, starts: np.ndarray, apart: int) -> pa.Table:
+    """What happens in each block: the times that can be the first kept in it, whatever was kept before, and to each of them
+    the last one kept then."""
+    t = numbers(table, "t")
+    first, last = [], []
+    for x in np.split(t, starts[1:]):
+        after = _following(x, apart)
+        ends = np.arange(len(x))
+        for i in range(len(x) - 1, -1, -1):
+            if after[i] < len(x):
+                ends[i] = ends[after[i]]
+        n = min(int(after[0]) + 1, len(x))  # those up to `apart` after the first, and one more
+        first.append(x[:n])
+        last.append(x[ends[:n]])
+    keys = table.select(["sid", "session", "block"]).take(pa.array(starts))
+    return keys.append_column("first", pa.array(first, pa.list_(pa.int64()))).append_column("last", pa.array(last, pa.list_(pa.int64())))
+
+
+def _entries(table: pa.Table, starts: np.ndarray, apart: int) -> pa.Table:
+    """The first time kept in each block of a series, from the one kept last in the blocks before; null where none is."""
+    first, last, out = table["first"].to_pylist(), table["last"].to_pylist(), []
+    begins = set(starts.tolist())
+    kept = None
+    for i in range(table.num_rows):
+        kept = None if i in begins else kept
+        at = 0 if kept is None else int(np.searchsorted(first[i], kept + apart, side="right"))
+        out.append(first[i][at] if at < len(first[i]) else None)
+        kept = last[i][at] if at < len(first[i]) else kept
+    return table.select(["sid", "session", "block"]).append_column("t", pa.array(out, pa.int64()))
+
+
+def _walk(table: pa.Table, starts: np.ndarray, apart: int) -> pa.Table:
+    """The times kept in each block, from its entry, which is the row that says so and comes first."""
+    t, rows = numbers(table, "t", -1), []
+    for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+        x = t[a + 1 : b]
+        after = _following(x, apart)
+        i = int(np.searchsorted(x, t[a]))
+        while i < len(x):
+            rows.append(a + 1 + i)
+            i = int(after[i])
+    return table.select(["sid", "session", "t"]).take(pa.array(rows, pa.int64()))
+
+
 def spaced_spikes(wide: DataFrame, threshold: float, apart_us: int, block_us: int = 600_000_000) -> DataFrame:
-    """Times at which the magnitude exceeds the threshold, each more than `apart_us` after the last one kept.
+    """Times at which the magnitude exceeds the threshold, each more than `apart_us` after the last one kept: (sid, session, t).
 
-    The rule depends on what was kept before, but starts afresh wherever spikes are more than `apart_us` apart. So
-    spikes are cut into such chains, by windows inside blocks of time, and only a chain is walked in order.
+    What is kept in a block of time depends on what came before through one time only, the first one kept in it. So the
+    blocks are worked out apart, for each time that this can be (those within `apart_us` of the block's first); then one
+    small row a block says which it is; then each block is walked from there. No task holds the times of a series.
     """
     hits = magnitudes(wide).where((F.col("mag") > threshold) & F.col("ts").isNotNull()).select("sid", "session", micros("ts").alias("t")).distinct()
-    n = with_neighbours(hits, ["sid", "session"], "t", F.struct("t"), "_p", "_n", block_us)
-    cut = F.coalesce((F.col("t") - F.col("_p.t") > apart_us).cast("bigint"), F.lit(1).cast("bigint"))
-    chained = with_running_sum(n.select("sid", "session", "t", cut.alias("cut")), ["sid", "session"], "t", F.col("cut"), "chain", block_us)
-    lists = chained.groupBy("sid", "session", "chain").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    kept = F.aggregate("ts", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > apart_us), F.concat(acc, F.array(x))).otherwise(acc))
-    return lists.select("sid", "session", F.explode(kept).alias("t"))
+    hits = written(hits.withColumn("block", F.floor(F.col("t") / block_us)), "hits")
+    block, spot = "sid string, session int, block bigint", ["sid", "session", "block"]
+    ways = sorted_groups(hits, spot, ["t"], partial(_ways, apart=apart_us), f"{block}, first array<bigint>, last array<bigint>")
+    entries = sorted_groups(ways, ["sid", "session"], ["block"], partial(_entries, apart=apart_us), f"{block}, t bigint")
+    entries = written(entries.where(F.col("t").isNotNull()), "entries")
+    both = hits.join(entries.select(*spot), spot, "left_semi").withColumn("entry", F.lit(False)).unionByName(entries.withColumn("entry", F.lit(True)))
+    return sorted_groups(both, spot, [F.desc("entry"), "t"], partial(_walk, apart=apart_us), "sid string, session int, t bigint")
 
 
 def sync_markers(log: DataFrame, first: int = 2) -> DataFrame:

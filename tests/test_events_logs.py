@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from pulsegrid.operators import correlate as C
@@ -100,3 +101,25 @@ def test_log_values(spark):
     lines = spark.createDataFrame([("k", 1, i, float(i), c) for i, c in enumerate(["block_acc: x_0 started", " 75.5 % ", "block_acc: x_0 ended", "block_rest: r ended", "block_info: completed nback trials in 4.5 minutes", "block_info: completed dual trials"])], "log_key string, session int, line_no bigint, ts double, content string")
     assert {(r.name, r.accuracy) for r in L.accuracies(lines).collect()} == {("x_1", 75.5), ("r", None)}
     assert {(r.task, r.minutes) for r in L.completed_sets(lines).collect()} == {("nback", 4.5), ("dual", None)}
+
+
+@pytest.mark.parametrize("block_us", [600_000_000, 1000, 137])
+def test_spaced_spikes_whatever_the_blocks(spark, block_us):
+    import datetime as dt
+
+    from pulsegrid.operators.events import spaced_spikes
+
+    rng = np.random.default_rng(11)
+    t0 = dt.datetime(2024, 1, 1)
+    want, rows = set(), []
+    for s, gaps in (("noisy", rng.integers(1, 40, 500)), ("calm", rng.integers(50, 900, 60)), ("one", [5])):
+        last = None
+        for i, t in enumerate(np.cumsum(gaps)):
+            rows.append((s, 1, i, t0 + dt.timedelta(microseconds=int(t)), 20.0, 0.0, 0.0))
+            if last is None or t - last > 100:
+                want.add((s, int(t)))
+                last = t
+    df = spark.createDataFrame(rows + rows[:50], "sid string, session int, pos bigint, ts timestamp_ntz, x double, y double, z double")
+    base = int((t0 - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert {(r.sid, r.t - base) for r in spaced_spikes(df, 9.9, 100, block_us).collect()} == want
+    assert spaced_spikes(df, 99.0, 100, block_us).count() == 0
