@@ -130,9 +130,10 @@ def with_value_lines(log: DataFrame) -> DataFrame:
 
 def accuracies(lines: DataFrame) -> DataFrame:
     """The accuracy of each block that ended: (log_key, session, line_no, name, accuracy), the number on the line before its
-    end without its percent sign; null where that line holds no number."""
+    end, bare or behind `label: `, without its percent sign; null where that line holds no number."""
     n = previous_lines(lines).where(F.col("content").rlike(r"^block_\w+: .* ended$"))
-    value = F.regexp_replace(F.trim("previous"), r"\s*%$", "").try_cast("double")
+    parts = F.split("previous", ": ")
+    value = F.regexp_replace(F.trim(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))), r"\s*%$", "").try_cast("double")
     return n.select("log_key", "session", "line_no", one_based(F.regexp_extract("content", LINE, 2)).alias("name"), value.alias("accuracy"))
 
 
