@@ -234,11 +234,11 @@ def spaced_peaks(x: np.ndarray, distance: float = 1, height: float | None = None
         p = p[x[p] >= height]
     d = int(np.ceil(distance))
     keep = np.ones(len(p), bool)
+    first, after = np.searchsorted(p, p - d, "right"), np.searchsorted(p, p + d)  # the peaks closer than d are a slice
     for i in np.argsort(x[p], kind="stable")[::-1]:
         if keep[i]:
-            near = np.abs(p - p[i]) < d
-            near[i] = False
-            keep[near] = False
+            keep[first[i] : after[i]] = False
+            keep[i] = True
     return p[keep]
 
 

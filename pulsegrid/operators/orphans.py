@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import micros
 
-#: Ranges of the key hash, and references that one probing task takes of one range.
+#: Fewest ranges of the key hash, and references, and parents on average, that one probing task takes of one range.
 RANGES = 256
 PER_TASK = 2_000_000
 REASONS = ["missing", "later", "deleted"]
@@ -67,7 +67,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.combine_chunks().to_batches()
 
 
-def orphans(refs: DataFrame, parents: DataFrame, per_task: int = PER_TASK, ranges: int = RANGES) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, per_task: int = PER_TASK, ranges: int | None = None) -> DataFrame:
     """References (tbl, row_id, field, key, t) that no parent (key, start, end in microseconds) satisfies at time t.
 
     Result: (tbl, row_id, field, t, reason). 'missing': no parent has the key; 'later': the parent starts after t;
@@ -79,8 +79,10 @@ def orphans(refs: DataFrame, parents: DataFrame, per_task: int = PER_TASK, range
     Scale: both sides are cut into ranges of the key's 64-bit hash, which are even whatever the keys are. A task
     holds the parents of its ranges as sorted arrays and searches batches of references in them. A range with more
     than `per_task` references, as of a hot key, is split among several tasks, each with the parents of that range;
-    the counts per range, at most `ranges` rows, are all that is broadcast.
+    the counts per range, one row each, are all that is broadcast. Unless given, `ranges` grows with the parents, so
+    that a range has about `per_task` of them at most.
     """
+    ranges = ranges or max(RANGES, -(-parents.count() // per_task))
     h = F.xxhash64("key")
     width = (1 << 64) // ranges
     rng = F.floor(h / F.lit(float(width))).cast("int")
