@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,14 @@ def test_streams_equal_batches(spark, data):
     once = T.drain(T.deduplicated(T.signal_stream(spark, path, "GSR")), [], "append")
     keys = ["sid", "session", "channel", "pos"]
     assert once.count() == once.select(*keys).distinct().count() > 0
+
+
+def test_spikes_kept_across_micro_batches(spark, tmp_path):
+    times = [[0, 5, 5, 11, 12, 40], [45, 51, 80], [90, 91]]
+    for i, ts in enumerate(times):  # one file a micro-batch, in the order they were written
+        rows = spark.createDataFrame([("s", "ACC", 1, "X", j, 20.0 if t != 12 else None, t) for j, t in enumerate(ts)], "stream_id string, modality string, session int, channel string, pos bigint, value double, t bigint")
+        rows.selectExpr("stream_id", "modality", "session", "channel", "pos", "value", "cast(timestamp_micros(t) as timestamp_ntz) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "x"))
+        time.sleep(1.1)
+    for files in (None, 1):
+        got = T.drain(T.spaced(T.signal_stream(spark, str(tmp_path / "x"), "ACC", files), 9.9, 10), [], "append")
+        assert sorted(r.t for r in got.collect()) == [0, 11, 40, 51, 80, 91]
