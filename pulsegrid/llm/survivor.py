@@ -27,14 +27,17 @@ UNLISTED = "(unlisted)"
 def gap_groups(rows: DataFrame, keys: list[str], t: str, row_id: str, gap: int, bucket: int = BUCKET_MS) -> DataFrame:
     """Adds group_id, the smallest row_id of a chain of rows of one key whose times are at most `gap` apart.
 
-    Rows are chained inside buckets of time; chains go on across buckets through one row per bucket, so a hot key is
-    spread over its buckets. `gap` must be below `bucket`. Rows with a null key or time are dropped.
+    Rows of one key and time are first combined into one, so a group of copies however large is a few rows. Those are
+    chained inside buckets of time; chains go on across buckets through one row per bucket, so a hot key is spread over
+    its buckets. The rows themselves are only joined to the ids of their key and time. `gap` must be below `bucket`.
+    Rows with a null key or time are dropped.
     """
     ok = F.col(t).isNotNull()
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    d = rows.where(ok).withColumn("_b", F.floor(F.col(t) / bucket))
-    inside, across = Window.partitionBy(*keys, "_b").orderBy(t, row_id), Window.partitionBy(*keys).orderBy("_b")
+    times = rows.where(ok).groupBy(*keys, t).agg(F.min(row_id).alias("_id"), F.count("*").alias("_n"))
+    d = times.withColumn("_b", F.floor(F.col(t) / bucket))
+    inside, across = Window.partitionBy(*keys, "_b").orderBy(t), Window.partitionBy(*keys).orderBy("_b")
     d = d.withColumn("_cut", F.coalesce((F.col(t) - F.lag(t).over(inside) > gap).cast("int"), F.lit(0))).withColumn("_piece", F.sum("_cut").over(inside))
     b = d.groupBy(*keys, "_b").agg(F.min(t).alias("_from"), F.max(t).alias("_to"), F.max("_piece").alias("_last"))
     joined = F.coalesce((F.col("_b") - F.lag("_b").over(across) == 1) & (F.col("_from") - F.lag("_to").over(across) <= gap), F.lit(False))
@@ -45,8 +48,8 @@ def gap_groups(rows: DataFrame, keys: list[str], t: str, row_id: str, gap: int,
     b = b.select(*keys, "_b", F.when(F.col("_joined"), F.col("_root")).alias("_root"))
     chain = F.when((F.col("_piece") == 0) & F.col("_root").isNotNull(), F.col("_root")).otherwise(F.struct("_b", "_piece"))
     d = d.join(b, [*keys, "_b"]).withColumn("_chain", chain)
-    ids = d.groupBy(*keys, "_chain").agg(F.min(row_id).alias("group_id"), F.count("*").alias("copies"))
-    return d.join(ids, [*keys, "_chain"]).drop("_b", "_cut", "_piece", "_root", "_chain")
+    ids = d.groupBy(*keys, "_chain").agg(F.min("_id").alias("group_id"), F.sum("_n").alias("copies"))
+    return rows.join(d.join(ids, [*keys, "_chain"]).select(*keys, t, "group_id", "copies"), [*keys, t])
 
 
 def copies(log: DataFrame, origins: DataFrame, bucket: int = BUCKET_MS) -> DataFrame:
