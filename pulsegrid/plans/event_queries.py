@@ -334,3 +334,8 @@ select a.sid, b.sid as other, count(*) as epochs, {_r('covar_pop(a.v, b.v) / nul
 n as (select *, last_value(ts ignore nulls) over (partition by sid, session, channel order by pos rows between unbounded preceding and 1 preceding) as p from s)
 select sid, session, channel, count(*) as rows, count(*) filter (value is null or isnan(value)) as missing, count(*) filter (isinf(value)) as infinite, count(*) filter (ts is null) as no_time, count(*) filter (ts <= p) as not_after from n group by 1, 2, 3""",
 }
+SQL["yoga_schedule"] = SQL["follow_on"].replace("'Rest Events'", "'Yoga Poses'")
+SQL["set_spans"] = rf"""with t as (select log_key, session, row_id, start_time, end_time, regexp_extract({_NORM}, '^(\w+?)_trial_(\d+)_set_(\d+)$', ['task', 'trial', 'set']) as p from log_events where log_key is not null and start_time is not null),
+u as (select *, p.task as task, p.trial as trial, p.set as set from t where p.trial = '1' or p.trial = case p.task when 'final_test' then '60' else '20' end),
+n as (select *, lag(trial) over w as before, lag(row_id) over w as open_row, lag(start_time) over w as opened from u window w as (partition by log_key, session, task, set order by row_id))
+select log_key, session, task, set, open_row, row_id as close_row, opened as start_time, end_time from n where trial <> '1' and before = '1'"""
